@@ -4,14 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkdom.llm import url_filter, warc
-from sparkdom.llm.common import table
+from sparkdom.llm import bpe, ppm, url_filter, warc
+from sparkdom.llm.common import fold, table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold("doc_id", 4) == 2
+    out = ppm.identify(table(spark, sf_dir, "documents"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, "page_id")
 
@@ -21,7 +32,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op4_url_filter": op4_url_filter,
+    "op5_language_id": op5_language_id,
     "op10_warc": op10_warc,
 }
 
