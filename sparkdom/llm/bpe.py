@@ -44,6 +44,19 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Memo:
+    """Two generations: when the young one is full it becomes the old one, so frequent words stay."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def put(self, key, value):
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+        return value
+
+
 class BacktrackingBPE:
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -73,9 +86,15 @@ class BacktrackingBPE:
         parts = [strings.get(i, "").encode() + b" " for i in range(max(strings) + 1)]
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
         self.offsets = np.cumsum([0, *map(len, parts)])
-        self.memo: dict[str, bytes] = {}
+        self.whole = {k: i for k, i in at.items() if not self.suffix or k.endswith(END)}
+        self.chunks, self.pieces, self.neighbours = Memo(MEMO), Memo(MEMO), Memo(MEMO)
 
     def compatible(self, left: int, right: int) -> bool:
+        key = left << 32 | right
+        got = self.neighbours.young.get(key)
+        return self.neighbours.put(key, self._compatible(left, right)) if got is None else got
+
+    def _compatible(self, left: int, right: int) -> bool:
         """Whether the merges could leave these two side by side."""
         limit = 1 << 60
         while True:
@@ -97,7 +116,10 @@ class BacktrackingBPE:
 
     def word(self, piece: str) -> list[int]:
         """Orders of the tokens of one pre-token."""
-        text = "".join([self.alphabet[b] for b in piece.encode()]) + (END if self.suffix else "")
+        # the letters of ASCII stand for themselves
+        text = (piece if piece.isascii() and piece.isalpha() else "".join([self.alphabet[b] for b in piece.encode()])) + (END if self.suffix else "")
+        if (token := self.whole.get(text)) is not None:
+            return [token]
         n, longest = len(text), {}
         for end, token in self.automaton.iter(text):
             longest[end + 1 - self.length[token]] = token
@@ -127,30 +149,41 @@ class BacktrackingBPE:
             raise ValueError(f"the vocabulary cannot spell {piece!r}")
         return out
 
+    def piece(self, piece: str) -> bytes:
+        """Ids of one pre-token, as little-endian 32-bit integers."""
+        memo = self.pieces
+        got = memo.young.get(piece)
+        if got is None:
+            got = memo.put(piece, memo.old.get(piece) or self.ids[self.word(piece)].tobytes())
+        return got
+
     def chunk(self, raw: str) -> bytes:
-        """Ids, as little-endian 32-bit integers, of a stretch without white space."""
+        """Ids of a stretch without white space."""
+        if raw.isascii() and raw.isalpha():
+            return self.piece(raw.lower())
         out = []
         for k, part in enumerate(self.added_split.split(raw) if self.added_split else [raw]):
             if k % 2:
                 out.append(np.uint32(self.added[part]).tobytes())
             elif part:
                 # lower-casing by character: no final-sigma rule
-                clean = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += [self.ids[self.word(p)].tobytes() for p in PIECES.findall(clean)]
+                clean = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                out += map(self.piece, PIECES.findall(clean))
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        memo = self.memo
         chunks = SPACE.split(text) if SEPARATORS.search(text) else text.split()
-        out = []
+        memo, out = self.chunks, []
+        young, old = memo.young, memo.old
         for c in chunks:
-            got = memo.get(c)
+            got = young.get(c)
             if got is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                got = self.chunk(c)
+                got = old.get(c)
+                if got is None:
+                    got = self.chunk(c)
                 if len(c) < 64:
-                    memo[c] = got
+                    memo.put(c, got)
+                    young, old = memo.young, memo.old
             out.append(got)
         return b"".join(out)
 
