@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from sparkdom.llm.common import materialize
 
 #: Rows of a block, rows of a block that are ranked exactly, queries scored at once, bytes of queries broadcast at once.
-BLOCK, RERANK, TOGETHER, GROUP_BYTES = 4096, 100, 256, 32 << 20
+BLOCK, RERANK, TOGETHER, GROUP_BYTES = 4096, 200, 256, 32 << 20
 
 
 class AdditiveQuantizer:
-    def __init__(self, books: int = 8, words: int = 64, beam: int = 8, seed: int = 7):
+    def __init__(self, books: int = 24, words: int = 64, beam: int = 8, seed: int = 7):
         self.books, self.words, self.beam, self.seed = books, words, beam, seed
 
     def fit(self, x: np.ndarray, rounds: int = 2) -> AdditiveQuantizer:
