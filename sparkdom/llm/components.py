@@ -62,14 +62,15 @@ def shrink(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInArrow(run, "u long, v long")
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, shrunk: bool = False) -> DataFrame:
     """(node, root): every node of edges (u, v) with the smallest node that it is linked to.
 
     Each round hangs every node below its smallest neighbour, follows that twice and
     contracts the graph, until no edge is left; the rounds grow with the logarithm of the
-    components' size. Only what a round leaves is written.
+    components' size. Only what a round leaves is written. shrunk says that edges are
+    stars already; a second pass in Python would take two workers for each task.
     """
-    edges, path = materialize(spark, shrink(edges), "edges")
+    edges, path = materialize(spark, edges if shrunk else shrink(edges), "edges")
     labels, labels_path = None, None
     while not edges.isEmpty():
         both = edges.union(edges.select("v", "u"))

@@ -146,7 +146,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     spark = df.sparkSession
     fps, _ = materialize(spark, fingerprints(df, key, text, words, seed), "fingerprints")
     distinct, distinct_path = materialize(spark, fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(spark, links(distinct, k))
+    roots = components(spark, links(distinct, k), shrunk=True)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named, _ = materialize(spark, rooted.join(smallest, "root").select("fp", "component_id"), "named")
