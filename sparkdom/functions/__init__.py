@@ -1,0 +1 @@
+"""Column functions over node rows, and functions for SQL."""

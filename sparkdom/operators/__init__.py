@@ -1,0 +1 @@
+"""Operators over tables of pages and of nodes."""
