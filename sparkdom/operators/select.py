@@ -7,50 +7,60 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkdom import schema
 from sparkdom.functions.columns import outer_html, text_content, to_text
 from sparkdom.html.dom import Node
 from sparkdom.html.markdown import to_markdown
 from sparkdom.html.parse import parse
-from sparkdom.html.serialize import SerializeError, compact, inside, to_html
+from sparkdom.html.serialize import SerializeError, compact, inside, leaf, to_html
 from sparkdom.operators.parse import kind_of, nodes, per_page, trees
 from sparkdom.plans.css import parse_selector
 from sparkdom.plans.matcher import first_n
 from sparkdom.plans.relational import flag
 from sparkdom.plans.targeted import compile_targeted, may_match
 
-FIELDS = [f.split()[0] for f in schema.MATCH.split(", ") if "string>" != f]
+#: Fields of a match and their types.
+TYPES = {
+    "pos": "int", "name": "string", "ns": "string", "attrs": "map<string, string>", "text": "string", "raw_text": "string", "extracted": "string",
+    "outer_html": "string", "pretty_html": "string", "inner_html": "string", "pretty_children": "string", "markdown": "string",
+}
+
+
+def _children_html(node: Node) -> str:
+    return "".join(leaf(c, node) if c.kind in ("text", "comment", "doctype") else compact(c) for c in inside(node))
+
+
+def _value(node: Node, pos: int, field: str):
+    """One field; html that cannot be written (a doctype with both kinds of quotes) is null."""
+    if field == "pos":
+        return pos
+    if field == "attrs":
+        return None if node.attrs is None else list(node.attrs.items())
+    if field in ("name", "ns"):
+        return getattr(node, field)
+    if field == "text":
+        return node.to_text()
+    if field == "raw_text":
+        return node.text_content
+    if field == "extracted":
+        return node.inner_text() if node.kind == "document" else node.text_content or ""
+    try:
+        if field == "pretty_children":
+            return "\n".join(h for c in node.children or () if (h := to_html(c)))
+        return {"outer_html": compact, "pretty_html": to_html, "inner_html": _children_html, "markdown": to_markdown}[field](node)
+    except SerializeError:
+        return None
 
 
 def _project(node: Node, pos: int, fields: Sequence[str]) -> tuple:
-    def html(fn) -> str | None:
-        try:
-            return fn()
-        except SerializeError:
-            return None
-
-    value = {
-        "pos": lambda: pos,
-        "name": lambda: node.name,
-        "ns": lambda: node.ns,
-        "attrs": lambda: None if node.attrs is None else list(node.attrs.items()),
-        "text": node.to_text,
-        "raw_text": lambda: node.text_content,
-        "outer_html": lambda: html(lambda: compact(node)),
-        "pretty_html": lambda: html(lambda: to_html(node)),
-        "inner_html": lambda: html(lambda: "".join(compact_child(c, node) for c in inside(node))),
-        "markdown": lambda: html(lambda: to_markdown(node)),
-    }
-    return tuple(value[f]() for f in fields)
-
-
-def compact_child(child: Node, parent: Node) -> str:
-    from sparkdom.html.serialize import leaf
-
-    return leaf(child, parent) if child.kind in ("text", "comment", "doctype") else compact(child)
-
-
-TYPES = {"pos": "int", "name": "string", "ns": "string", "attrs": "map<string, string>", "text": "string", "raw_text": "string", "outer_html": "string", "pretty_html": "string", "inner_html": "string", "markdown": "string"}
+    return tuple(_value(node, pos, f) for f in fields)
+
+
+def select_local(html: str | bytes, selector: str | None, fields: Sequence[str], limit: int | None = None) -> list[dict]:
+    """The matches of one page at hand, without Spark."""
+    root = parse(html).root
+    found = [root] if selector is None else first_n(root, parse_selector(selector), limit)
+    rows = [dict(zip(fields, _project(n, k, fields), strict=True)) for k, n in enumerate(found, 1)]
+    return [r | {"attrs": dict(r["attrs"] or ())} if "attrs" in r else r for r in rows]
 
 
 def select(df: DataFrame, selector: str | None, fields: Sequence[str] = ("pos", "name", "text"), limit: int | None = None, key: str = "page_id", html: str = "html", targeted: bool = False, prefilter: bool = True, encoding: str | None = None) -> DataFrame:

@@ -13,4 +13,3 @@ ERROR = "seq: int, phase: string, code: string, line: int, column: int"
 #: Columns of a parsed page besides its key.
 PAGE = f"encoding string, quirks string, html string, texts array<string>, nodes array<struct<{NODE}>>, errors array<struct<{ERROR}>>"
 EVENT = f"seq int, event string, name string, attrs map<string, string>, text string, doctype {DOCTYPE}"
-MATCH = "pos int, node_id int, name string, ns string, attrs map<string, string>, text string, raw_text string, outer_html string, inner_html string, markdown string"

@@ -1,0 +1 @@
+"""Where pages come from and go to."""

@@ -1,0 +1 @@
+"""Pages that keep arriving."""
