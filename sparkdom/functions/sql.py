@@ -22,10 +22,10 @@ from sparkdom.plans.css import parse_selector
 from sparkdom.plans.matcher import first_n
 
 
-def _each(fn: Callable, kind: str = "string"):
+def _each(fn: Callable):
     """An Arrow-batched function of one text column; null gives null."""
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(T.StringType())
     def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else fn(v))
 
@@ -56,20 +56,17 @@ decode_html = _each(lambda data: enc.decode_html(bytes(data))[0])
 sniff_encoding = _each(lambda data: enc.sniff(bytes(data))[0])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def html_select(html: pd.Series, css: pd.Series) -> pd.Series:
     """Normalized text of every match, in document order; a bad selector fails the query."""
     return pd.Series([None if h is None or c is None else [n.to_text() for n in first_n(parse(h).root, parse_selector(c), None)] for h, c in zip(html, css, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_select_first(html: pd.Series, css: pd.Series) -> pd.Series:
     return pd.Series([None if h is None or c is None else next((n.to_text() for n in first_n(parse(h).root, parse_selector(c), 1)), None) for h, c in zip(html, css, strict=True)])
 
 
-NODES_TYPE = T._parse_datatype_string(f"struct<{schema.NODE}>")
-
-
 class HtmlNodes:
     """SELECT ... FROM pages, LATERAL html_nodes(html)"""
 
@@ -105,6 +102,6 @@ def register(spark: SparkSession) -> None:
     """Make the functions known to SQL in this session."""
     for name, fn in SCALARS.items():
         spark.udf.register(name, fn)
-    spark.udtf.register("html_nodes", F.udtf(HtmlNodes, returnType=NODES_TYPE))
+    spark.udtf.register("html_nodes", F.udtf(HtmlNodes, returnType=T._parse_datatype_string(f"struct<{schema.NODE}>")))
     spark.udtf.register("html_events", F.udtf(HtmlEvents, returnType=schema.EVENT))
     spark.udtf.register("html_matches", F.udtf(HtmlMatches, returnType="pos int, name string, text string, outer_html string"))

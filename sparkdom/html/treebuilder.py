@@ -137,6 +137,9 @@ class TreeBuilder:
                 self.mode = "in_head"
             else:
                 self._imply()
+        fine = C.IMPLIED_END | {"tbody", "td", "tfoot", "th", "thead", "tr", "body", "html"}
+        if any(n.name not in fine for n in self.stack):
+            self.error("expected-closing-tag-but-got-eof")
         while self.templates:
             if not any(n.name == "template" and n.ns == "html" for n in self.stack):
                 break
