@@ -224,16 +224,16 @@ def _spans(edges: DataFrame, packed: DataFrame, width: int) -> tuple[DataFrame,
     kinds, kinds_path = materialize(spark, kinds, "kinds")
     contexts, contexts_path = materialize(spark, _contexts(packed, kinds, width), "contexts")
     blocks, blocks_path = materialize(spark, _blocks(contexts, width), "blocks")
-    same = blocks.groupBy("a", "k").agg(F.sum("n").alias("all"), F.min("v").alias("v0"), F.max("v").alias("v1")).where("all >= 2")
+    same, same_path = materialize(spark, blocks.groupBy("a", "k").agg(F.sum("n").alias("all"), F.min("v").alias("v0"), F.max("v").alias("v1")).where("all >= 2"), "same")
     live, live_path = materialize(spark, blocks.join(same, ["a", "k"]).select("a", "u", "block", (F.col("v0") == F.col("v1")).alias("done")), "live")
     open_blocks = live.where(~F.col("done")).groupBy("a", "u").agg(F.collect_list("block").alias("blocks"))
     single, single_path = materialize(spark, _windows(contexts.join(open_blocks, ["a", "u"]).select("a", "u", "n", "far", "near", "bytes", "blocks"), width), "windows")
-    twice = single.groupBy("a", "k").agg(F.sum("n").alias("all")).where("all >= 2").select("a", "k")
+    twice, twice_path = materialize(spark, single.groupBy("a", "k").agg(F.sum("n").alias("all")).where("all >= 2").select("a", "k"), "twice")
     hits = single.join(twice, ["a", "k"]).select("a", "u", F.col("back").alias("lo"), F.col("back").alias("hi"))
     hits = hits.union(live.where("done").select("a", "u", (F.col("block") * BLOCK).alias("lo"), (F.col("block") * BLOCK + BLOCK - 1).alias("hi")))
     alone = kinds.where("n = 1").join(hits, ["a", "u"]).select("t1", "t2", (F.col("place") - F.col("hi")).alias("s"), (F.col("place") - F.col("lo") + width).alias("e"))
     several = edges.join(kinds.where("n >= 2").select("a", "u"), ["a", "u"]).select("t1", "t2", (F.col("place") - F.col("far")).alias("s"), (F.col("place") - F.col("near") + width).alias("e"))
-    return alone.union(several), [kinds_path, contexts_path, blocks_path, live_path, single_path]
+    return alone.union(several), [kinds_path, contexts_path, blocks_path, same_path, live_path, single_path, twice_path]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -260,10 +260,12 @@ def covered(docs: DataFrame, text: str = "text", width: int = 200) -> DataFrame:
 
     packed = hashed.mapInArrow(pack, "t1 long, t2 long, blob binary")
     entries, entries_path = materialize(spark, _entries(hashed, width), "suffixes")
-    same = entries.groupBy("a").agg(F.count("*").alias("all"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("all >= 2")
+    # counts are written first: the join then deals both sides anew, and Spark can split a frequent anchor
+    same, same_path = materialize(spark, entries.groupBy("a").agg(F.count("*").alias("all"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("all >= 2"), "anchors")
     met, met_path = materialize(spark, entries.join(same, "a").select(*entries.columns, (F.col("u0") == F.col("u1")).alias("done")), "met")
     del entries, same
     drop_table(spark, entries_path)
+    drop_table(spark, same_path)
     release(spark)
     rest, paths = _spans(met.where(~F.col("done")), packed, width)
     spans = met.where("done").select("t1", "t2", (F.col("place") - F.col("far")).alias("s"), (F.col("place") - F.col("near") + width).alias("e")).union(rest)
