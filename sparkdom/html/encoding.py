@@ -5,36 +5,36 @@ from __future__ import annotations
 import codecs
 import re
 
-#: Labels of the Encoding Standard: for each encoding the codec and the labels besides its name.
+#: Fixed values of the Encoding Standard: for each encoding the codec, and labels that regular_labels() does not give.
 ENCODINGS = {
     "utf-8": ("utf-8", "unicode-1-1-utf-8 unicode11utf8 unicode20utf8 utf8 x-unicode20utf8"),
     "ibm866": ("cp866", "866 cp866 csibm866"),
-    "iso-8859-2": ("iso8859_2", "csisolatin2 iso-ir-101 iso8859-2 iso88592 iso_8859-2 iso_8859-2:1987 l2 latin2"),
-    "iso-8859-3": ("iso8859_3", "csisolatin3 iso-ir-109 iso8859-3 iso88593 iso_8859-3 iso_8859-3:1988 l3 latin3"),
-    "iso-8859-4": ("iso8859_4", "csisolatin4 iso-ir-110 iso8859-4 iso88594 iso_8859-4 iso_8859-4:1988 l4 latin4"),
-    "iso-8859-5": ("iso8859_5", "csisolatincyrillic cyrillic iso-ir-144 iso8859-5 iso88595 iso_8859-5 iso_8859-5:1988"),
-    "iso-8859-6": ("iso8859_6", "arabic asmo-708 csiso88596e csiso88596i csisolatinarabic ecma-114 iso-8859-6-e iso-8859-6-i iso-ir-127 iso8859-6 iso88596 iso_8859-6 iso_8859-6:1987"),
-    "iso-8859-7": ("iso8859_7", "csisolatingreek ecma-118 elot_928 greek greek8 iso-ir-126 iso8859-7 iso88597 iso_8859-7 iso_8859-7:1987 sun_eu_greek"),
-    "iso-8859-8": ("iso8859_8", "csiso88598e csisolatinhebrew hebrew iso-8859-8-e iso-ir-138 iso8859-8 iso88598 iso_8859-8 iso_8859-8:1988 visual"),
+    "iso-8859-2": ("iso8859_2", "csisolatin2 iso-ir-101 iso_8859-2:1987 l2 latin2"),
+    "iso-8859-3": ("iso8859_3", "csisolatin3 iso-ir-109 iso_8859-3:1988 l3 latin3"),
+    "iso-8859-4": ("iso8859_4", "csisolatin4 iso-ir-110 iso_8859-4:1988 l4 latin4"),
+    "iso-8859-5": ("iso8859_5", "csisolatincyrillic cyrillic iso-ir-144 iso_8859-5:1988"),
+    "iso-8859-6": ("iso8859_6", "arabic asmo-708 csiso88596e csiso88596i csisolatinarabic ecma-114 iso-8859-6-e iso-8859-6-i iso-ir-127 iso_8859-6:1987"),
+    "iso-8859-7": ("iso8859_7", "csisolatingreek ecma-118 elot_928 greek greek8 iso-ir-126 iso_8859-7:1987 sun_eu_greek"),
+    "iso-8859-8": ("iso8859_8", "csiso88598e csisolatinhebrew hebrew iso-8859-8-e iso-ir-138 iso_8859-8:1988 visual"),
     "iso-8859-8-i": ("iso8859_8", "csiso88598i logical"),
-    "iso-8859-10": ("iso8859_10", "csisolatin6 iso-ir-157 iso8859-10 iso885910 l6 latin6"),
-    "iso-8859-13": ("iso8859_13", "iso8859-13 iso885913"),
-    "iso-8859-14": ("iso8859_14", "iso8859-14 iso885914"),
-    "iso-8859-15": ("iso8859_15", "csisolatin9 iso8859-15 iso885915 iso_8859-15 l9"),
+    "iso-8859-10": ("iso8859_10", "csisolatin6 iso-ir-157 l6 latin6"),
+    "iso-8859-13": ("iso8859_13", ""),
+    "iso-8859-14": ("iso8859_14", ""),
+    "iso-8859-15": ("iso8859_15", "csisolatin9 l9"),
     "iso-8859-16": ("iso8859_16", ""),
     "koi8-r": ("koi8_r", "cskoi8r koi koi8 koi8_r"),
     "koi8-u": ("koi8_u", "koi8-ru"),
     "macintosh": ("mac_roman", "csmacintosh mac x-mac-roman"),
     "windows-874": ("cp874", "dos-874 iso-8859-11 iso8859-11 iso885911 tis-620"),
-    "windows-1250": ("cp1250", "cp1250 x-cp1250"),
-    "windows-1251": ("cp1251", "cp1251 x-cp1251"),
-    "windows-1252": ("cp1252", "ansi_x3.4-1968 ascii cp1252 cp819 csisolatin1 ibm819 iso-8859-1 iso-ir-100 iso8859-1 iso88591 iso_8859-1 iso_8859-1:1987 l1 latin1 us-ascii x-cp1252 utf-7 x-utf-7"),
-    "windows-1253": ("cp1253", "cp1253 x-cp1253"),
-    "windows-1254": ("cp1254", "cp1254 csisolatin5 iso-8859-9 iso-ir-148 iso8859-9 iso88599 iso_8859-9 iso_8859-9:1989 l5 latin5 x-cp1254"),
-    "windows-1255": ("cp1255", "cp1255 x-cp1255"),
-    "windows-1256": ("cp1256", "cp1256 x-cp1256"),
-    "windows-1257": ("cp1257", "cp1257 x-cp1257"),
-    "windows-1258": ("cp1258", "cp1258 x-cp1258"),
+    "windows-1250": ("cp1250", ""),
+    "windows-1251": ("cp1251", ""),
+    "windows-1252": ("cp1252", "ansi_x3.4-1968 ascii cp819 csisolatin1 ibm819 iso-8859-1 iso-ir-100 iso8859-1 iso88591 iso_8859-1 iso_8859-1:1987 l1 latin1 us-ascii utf-7 x-utf-7"),
+    "windows-1253": ("cp1253", ""),
+    "windows-1254": ("cp1254", "csisolatin5 iso-8859-9 iso-ir-148 iso8859-9 iso88599 iso_8859-9 iso_8859-9:1989 l5 latin5"),
+    "windows-1255": ("cp1255", ""),
+    "windows-1256": ("cp1256", ""),
+    "windows-1257": ("cp1257", ""),
+    "windows-1258": ("cp1258", ""),
     "x-mac-cyrillic": ("mac_cyrillic", "x-mac-ukrainian"),
     "gbk": ("gbk", "chinese csgb2312 csiso58gb231280 gb2312 gb_2312 gb_2312-80 iso-ir-58 x-gbk"),
     "gb18030": ("gb18030", ""),
@@ -48,7 +48,17 @@ ENCODINGS = {
     "utf-16le": ("utf-16-le", "csunicode iso-10646-ucs-2 ucs-2 unicode unicodefeff utf-16"),
     "x-user-defined": ("", ""),
 }
-LABELS = {label: name for name, (_, labels) in ENCODINGS.items() for label in (name, *labels.split())}
+
+
+def regular_labels(name: str) -> list[str]:
+    """The spellings that every ISO 8859 part and every windows code page has."""
+    family, _, number = name.rpartition("-")
+    if family == "iso-8859" and number.isdigit() and number != "16":
+        return [f"iso8859-{number}", f"iso8859{number}"] + [f"iso_8859-{number}"] * (number not in ("10", "13", "14"))
+    return [f"cp{number}", f"x-cp{number}"] if family == "windows" and number != "874" else []
+
+
+LABELS = {label: name for name, (_, labels) in ENCODINGS.items() for label in (name, *regular_labels(name), *labels.split())}
 BOMS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16le"), (codecs.BOM_UTF16_BE, "utf-16be"))
 FALLBACK = "windows-1252"
 #: How much of the page the prescan reads: in all, and outside comments.

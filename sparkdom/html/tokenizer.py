@@ -21,7 +21,7 @@ COMMENT_END = re.compile(r"--!?>")
 UPPER = {c: c + 32 for c in range(65, 91)}
 SCRIPT = re.compile(r"<!--|</script(?=[\t\n\f />])", re.I)
 SCRIPT_IN_COMMENT = re.compile(r"-->|<(/?)script(?=[\t\n\f />])", re.I)
-XML_BAD = re.compile("[﷐-﷯￾￿]" + "".join(f"|[{chr(p << 16 | 0xFFFE)}{chr(p << 16 | 0xFFFF)}]" for p in range(1, 17)))
+XML_BAD = re.compile("[\\ufdd0-\\ufdef\\ufffe\\uffff]" + "".join(f"|[{chr(p << 16 | 0xFFFE)}{chr(p << 16 | 0xFFFF)}]" for p in range(1, 17)))
 
 
 def ascii_lower(text: str) -> str:
@@ -30,7 +30,7 @@ def ascii_lower(text: str) -> str:
 
 class Tokenizer:
     def __init__(self, text: str, sink, errors: list | None = None, state: str = "data", last_start: str = "", discard_bom: bool = True, xml: bool = False):
-        if discard_bom and text.startswith("﻿"):
+        if discard_bom and text.startswith("\ufeff"):
             text = text[1:]
         self.text = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
         self.sink, self.errors, self.state, self.last_start, self.xml = sink, errors, state, last_start, xml
