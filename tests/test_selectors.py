@@ -127,6 +127,25 @@ def test_fused_is_relational(forests):
         assert sorted(map(tuple, fused)) == sorted(map(tuple, rel))
 
 
+EARLY = ["title", "p", "div p", "div > p", "p.x", "#a", ".z", "li:first-child", "p:nth-of-type(2)", "b, #a", "td", "template div", "span.x, li", "ul > li", "table p", "svg a"]
+
+
+def test_early_is_query_first():
+    from sparkdom.html.serialize import compact
+    from sparkdom.plans.early import decidable, find_first
+
+    rng = random.Random(12)
+    for selector in EARLY:
+        parsed = compile_targeted(selector)
+        assert decidable(parsed)
+        for html in HAZARDS + [forest(rng) for _ in range(150)]:
+            got, want = find_first(html, parsed), query_first(parse(html).root, selector)
+            assert (got and compact(got), got and got.attrs) == (want and compact(want), want and want.attrs), (selector, html)
+    assert not any(decidable(compile_targeted(s)) for s in ("*", "body", ":first-child", "p:not(.x)", ".a p", "html", "[x]"))
+    head = "<!DOCTYPE html><title>a</title>"
+    assert find_first(head + "<p>" * 200_000, compile_targeted("title")).to_text() == "a"
+
+
 def test_slices(forests):
     docs, _, pages = forests
     from sparkdom.html.serialize import compact
