@@ -67,16 +67,16 @@ def page_rows(html: str | bytes | None, **options) -> Iterator[tuple]:
     yield doc.encoding, doc.quirks, compact, texts, rows, errors
 
 
-def parse_pages(df: DataFrame, key: str = "page_id", html: str = "html", where: Column | None = None, context: tuple[str, str] | None = None, collect_errors: bool = False, strict: bool = False, encoding: str | None = None, tasks: int | None = None) -> DataFrame:
+def parse_pages(df: DataFrame, key: str = "page_id", html: str = "html", where: Column | None = None, context: tuple[str, str] | None = None, collect_errors: bool = False, strict: bool = False, encoding: str | None = None, tasks: int | None = None, **more) -> DataFrame:
     """One row per page: key, encoding, quirks, html (compact), texts by tree, nodes, errors.
 
     html may be text or bytes; null is an empty page. where is applied below the stage.
     tasks deals the pages out anew, for inputs of few large files. strict fails the query on
-    the first parse error of any page.
+    the first parse error of any page. more: iframe_srcdoc, discard_bom, xml.
     """
     df = df if where is None else df.where(where)
     df = df if tasks is None else df.repartition(tasks)
-    options = {"context": context, "collect_errors": collect_errors, "strict": strict, "encoding": encoding}
+    options = {"context": context, "collect_errors": collect_errors, "strict": strict, "encoding": encoding, **more}
     return per_page(df, key, html, lambda _, text: page_rows(text, **options), schema.PAGE)
 
 

@@ -177,6 +177,11 @@ def test_markdown(html, want):
     assert to_markdown(parse("<!DOCTYPE html>" + html).root) == want
 
 
+def test_deep_documents():
+    root = parse("<div>" * 3_000 + "x").root
+    assert to_markdown(root) == "x" and len(compact(root.clone(True))) == len(compact(root)) and "x" in to_html(root) and '"x"' in to_test_format(root)
+
+
 def test_text():
     root = parse("<p>a&nbsp; b\n c<!-- x --><template>t</template></p>").root
     p = root.children[0].children[1].children[0]
