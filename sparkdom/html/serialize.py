@@ -105,19 +105,34 @@ def _can_format(children: list[Node]) -> bool:
     return structural
 
 
-def pretty(node: Node, indent: int = 0, size: int = 2, parent: Node | None = None) -> str:
+def pretty(node: Node, indent: int = 0, size: int = 2) -> str:
+    lines: list[str] = []
+    _lines(node, indent, size, None, lines)
+    return "\n".join(lines)
+
+
+def _lines(node: Node, indent: int, size: int, parent: Node | None, out: list[str]) -> None:
     pad = " " * (indent * size)
     if node.kind in ("document", "fragment"):
         if not _can_format(node.children):
-            return compact(node)
-        return "\n".join(pretty(c, indent, size) for c in node.children if not _blank(c))
+            out.append(compact(node))
+            return
+        for c in node.children:
+            if not _blank(c):
+                _lines(c, indent, size, None, out)
+        return
     if node.kind != "element":
-        return pad + leaf(node, parent)
+        out.append(pad + leaf(node, parent))
+        return
     children = inside(node)
     if not (is_html(node) and node.name in PRETTY and _can_format(children)):
-        return pad + compact(node)
-    lines = [pretty(c, indent + 1, size, node) for c in children if not _blank(c)]
-    return "\n".join([pad + start_tag(node.name, node.attrs), *(x for x in lines if x), pad + end_tag(node.name)])
+        out.append(pad + compact(node))
+        return
+    out.append(pad + start_tag(node.name, node.attrs))
+    for c in children:
+        if not _blank(c):
+            _lines(c, indent + 1, size, node, out)
+    out.append(pad + end_tag(node.name))
 
 
 def to_html(node: Node, pretty_print: bool = True, indent: int = 0, size: int = 2) -> str:
@@ -125,23 +140,30 @@ def to_html(node: Node, pretty_print: bool = True, indent: int = 0, size: int =
 
 
 def to_test_format(node: Node, indent: int = 0) -> str:
+    lines: list[str] = []
+    _dump(node, indent, lines)
+    return "\n".join(lines)
+
+
+def _dump(node: Node, indent: int, out: list[str]) -> None:
     if node.kind in ("document", "fragment"):
-        return "\n".join(to_test_format(c) for c in node.children)
+        for c in node.children:
+            _dump(c, 0, out)
+        return
     pad = "| " + " " * indent
     if node.kind == "comment":
-        return f"{pad}<!-- {node.data} -->"
-    if node.kind == "text":
-        return f'{pad}"{node.data}"'
-    if node.kind == "doctype":
+        out.append(f"{pad}<!-- {node.data} -->")
+    elif node.kind == "text":
+        out.append(f'{pad}"{node.data}"')
+    elif node.kind == "doctype":
         name, public, system = node.data[:3]
         ids = f' "{public or ""}" "{system or ""}"' if public is not None or system is not None else ""
-        return f"| <!DOCTYPE {name or ''}{ids}>"
-    lines = [f"{pad}<{node.name if is_html(node) else f'{node.ns} {node.name}'}>"]
-    shown = {(k.replace(":", " ") if not is_html(node) and k.lower() in FOREIGN_ATTRS else k): v or "" for k, v in (node.attrs or {}).items()}
-    lines += [f'{pad}  {k}="{v}"' for k, v in sorted(shown.items(), key=lambda x: x[0].encode())]
-    if node.content is not None:
-        lines.append(f"{pad}  content")
-        lines += [to_test_format(c, indent + 4) for c in node.content.children]
+        out.append(f"| <!DOCTYPE {name or ''}{ids}>")
     else:
-        lines += [to_test_format(c, indent + 2) for c in node.children or ()]
-    return "\n".join(lines)
+        out.append(f"{pad}<{node.name if is_html(node) else f'{node.ns} {node.name}'}>")
+        shown = {(k.replace(":", " ") if not is_html(node) and k.lower() in FOREIGN_ATTRS else k): v or "" for k, v in (node.attrs or {}).items()}
+        out += [f'{pad}  {k}="{v}"' for k, v in sorted(shown.items(), key=lambda x: x[0].encode())]
+        if node.content is not None:
+            out.append(f"{pad}  content")
+        for c in node.content.children if node.content is not None else node.children or ():
+            _dump(c, indent + (4 if node.content is not None else 2), out)
