@@ -16,7 +16,7 @@ from sparkdom.operators.parse import kind_of, nodes, per_page, trees
 from sparkdom.plans.css import parse_selector
 from sparkdom.plans.early import decidable, find_first
 from sparkdom.plans.matcher import first_n
-from sparkdom.plans.relational import flag
+from sparkdom.plans.relational import flag, looks_around
 from sparkdom.plans.targeted import compile_targeted, may_match
 
 #: Fields of a match and their types.
@@ -104,12 +104,13 @@ def matched(node_table: DataFrame, selector: str, key: str = "page_id") -> DataF
 
 
 def query(pages: DataFrame, selector: str, key: str = "page_id", scope: DataFrame | None = None) -> DataFrame:
-    """Matching rows of parsed pages, from the node table alone: filters and windows, one shuffle by key.
+    """Matching rows of parsed pages, from the node table alone: filters and windows, one shuffle by key at most.
 
     scope (key, tree_id, node_id, last_id) keeps what lies inside those nodes; ancestors
     above them still count in the selector.
     """
-    rows = matched(nodes(pages, key).repartition(key), selector, key)
+    table = nodes(pages, key)
+    rows = matched(table.repartition(key) if looks_around(selector) else table, selector, key)
     if scope is None:
         return rows
     # intervals nest, so the innermost scope that begins before a node and reaches it is enough

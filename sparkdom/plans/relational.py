@@ -138,6 +138,12 @@ class Compiler:
         return flags[0] if len(flags) == 1 else self.add(out)
 
 
+def looks_around(selector: str | SelectorList) -> bool:
+    """Whether any part of a selector depends on other rows than the node's own."""
+    parsed = parse_selector(selector) if isinstance(selector, str) else selector
+    return any(b.combinators or any(s.inner is not None and looks_around(s.inner) for c in b.compounds for s in c) for b in parsed.branches)
+
+
 def flag(nodes: DataFrame, selector: str, key: str, name: str = "matched") -> DataFrame:
     """nodes with a boolean column that says which match."""
     compiler = Compiler(nodes, key)

@@ -119,6 +119,15 @@ def test_relational_is_pointer(forests, selector):
     assert got == sorted(want)
 
 
+def test_exchanges(spark):
+    """One exchange for any number of combinators, none without, and never a join."""
+    pages = parse_pages(spark.createDataFrame([(1, "<p>")], "page_id long, html string"))
+    for selector, want in (("nav > ul > li > a", 1), ("nav a, li + li ~ b", 1), ("li:not(.x):first-child", 0), ("p:not(div p)", 1)):
+        plan = query(pages, selector)._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan
+        assert plan.count("RepartitionByExpression") + plan.count("Exchange") == want
+
+
 def test_fused_is_relational(forests):
     _, table, pages = forests
     for selector in ("div p", "li:first-child", "p.x, #a", "template div"):
