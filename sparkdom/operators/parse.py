@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkdom import schema
-from sparkdom.html.encode import encode
-from sparkdom.html.parse import StrictError, events, parse
+from sparkdom.html.encode import Columns, encode, encode_into
+from sparkdom.html.parse import Document, StrictError, events, parse
 
 #: Output rows are passed on once they stand for so many input characters.
 FLUSH_CHARS = 4 << 20
@@ -59,12 +59,55 @@ def _map(attrs: dict | None) -> list[tuple] | None:
 
 
 def page_rows(html: str | bytes | None, **options) -> Iterator[tuple]:
+    """One page as a row of plain values."""
     doc = parse(html, **options)
     rows, texts, compact = encode(doc.root)
     for r in rows:
         r["attrs"] = _map(r["attrs"])
-    errors = [dict(zip(("seq", "phase", "code", "line", "column"), (k, *e), strict=True)) for k, e in enumerate(doc.errors)]
-    yield doc.encoding, doc.quirks, compact, texts, rows, errors
+    yield doc.encoding, doc.quirks, compact, texts, rows, _errors(doc)
+
+
+def _errors(doc: Document) -> list[dict]:
+    return [dict(zip(("seq", "phase", "code", "line", "column"), (k, *e), strict=True)) for k, e in enumerate(doc.errors)]
+
+
+class PageBatch:
+    """Parsed pages on their way to Arrow, column by column: node rows are never put together in Python."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema = schema
+        self.keys, self.encodings, self.quirks, self.html, self.texts, self.errors = [], [], [], [], [], []
+        self.nodes, self.starts = Columns(), [0]
+
+    def add(self, key, doc: Document) -> None:
+        texts, html = encode_into(doc.root, self.nodes)
+        self.keys.append(key)
+        self.encodings.append(doc.encoding)
+        self.quirks.append(doc.quirks)
+        self.html.append(html)
+        self.texts.append(texts)
+        self.errors.append(_errors(doc))
+        self.starts.append(len(self.nodes))
+
+    def arrow(self) -> pa.RecordBatch:
+        node = self.schema.field("nodes").type.value_type
+        arrays = []
+        for f in node:
+            values = getattr(self.nodes, f.name)
+            arrays.append(_map_array(values, f.type) if f.name == "attrs" else pa.array(values, f.type))
+        nodes = pa.ListArray.from_arrays(pa.array(self.starts, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(node)), type=self.schema.field("nodes").type)
+        plain = {"encoding": self.encodings, "quirks": self.quirks, "html": self.html, "texts": self.texts, "errors": self.errors}
+        return pa.RecordBatch.from_arrays([pa.array(self.keys, self.schema[0].type), *(nodes if f.name == "nodes" else pa.array(plain[f.name], f.type) for f in list(self.schema)[1:])], schema=self.schema)
+
+
+def _map_array(values: list[dict | None], kind: pa.DataType) -> pa.Array:
+    keys, items, starts = [], [], []
+    for v in values:
+        starts.append(None if v is None else len(keys))
+        if v:
+            keys += v
+            items += v.values()
+    return pa.MapArray.from_arrays(pa.array([*starts, len(keys)], pa.int32()), pa.array(keys, pa.string()), pa.array(items, pa.string()), type=kind)
 
 
 def parse_pages(df: DataFrame, key: str = "page_id", html: str = "html", where: Column | None = None, context: tuple[str, str] | None = None, collect_errors: bool = False, strict: bool = False, encoding: str | None = None, tasks: int | None = None, **more) -> DataFrame:
@@ -76,8 +119,24 @@ def parse_pages(df: DataFrame, key: str = "page_id", html: str = "html", where:
     """
     df = df if where is None else df.where(where)
     df = df if tasks is None else df.repartition(tasks)
+    out = T._parse_datatype_string(f"`{key}` {kind_of(df, key)}, {schema.PAGE}")
     options = {"context": context, "collect_errors": collect_errors, "strict": strict, "encoding": encoding, **more}
-    return per_page(df, key, html, lambda _, text: page_rows(text, **options), schema.PAGE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(out)
+        made, size = PageBatch(arrow), 0
+        for b in batches:
+            for k, h in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = h.as_py()
+                made.add(k, parse(text, **options))
+                size += len(text or "") + 1
+                if size >= FLUSH_CHARS:
+                    yield made.arrow()
+                    made, size = PageBatch(arrow), 0
+        if made.keys:
+            yield made.arrow()
+
+    return df.select(key, html).mapInArrow(run, out)
 
 
 def nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
