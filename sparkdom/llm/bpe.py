@@ -24,14 +24,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdom.llm.common import MAX_BROADCAST_BYTES
+from sparkdom.llm.common import MAX_BROADCAST_BYTES, tidy
 
 #: The pre-tokenizer pattern of the file, fixed by its format.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Stands for the end of a word inside the automaton; no byte maps to it.
-END = ""
+END = "\ue000"
 #: Words kept in a worker's memo, and bytes of ids that are decoded at once.
-MEMO, SLICE = 1 << 18, 1 << 18
+MEMO, SLICE = 1 << 17, 1 << 18
 #: White space to str.split() that the pattern does not count as such.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"\s+")
@@ -198,18 +198,6 @@ class BacktrackingBPE:
             yield out if k + SLICE < len(ids) else out[:-1]
 
 
-_loaded: dict[str, BacktrackingBPE] = {}
-
-
-def load(data: bytes) -> BacktrackingBPE:
-    """One encoder for each worker and vocabulary."""
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = BacktrackingBPE(json.loads(data))
-    return _loaded[key]
-
-
 def encode_decode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded) for every row; other columns are left out.
 
@@ -224,7 +212,7 @@ def encode_decode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     schema = f"{key} {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(sent.value)
+        bpe = BacktrackingBPE(json.loads(sent.value))  # gone with its task: kept workers hold no tables for other stages
         for b in batches:
             counts, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
             for t in b.column(1):
@@ -241,4 +229,4 @@ def encode_decode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
             more = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())] if with_ids else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha), *more], [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 4 + len(more)])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

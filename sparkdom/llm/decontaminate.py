@@ -27,10 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkdom.llm.common import tidy
+
 WORD = re.compile(r"[^\W_]+")
 #: Words scanned at once; bytes of item texts that one pass takes; most tables of a length.
 CHUNK, PASS_BYTES, MOST_TABLES = 1 << 19, 8 << 20, 96
-PAIR_BITS, SYMBOL_BITS = 20, 12
+PAIR_BITS, SYMBOL_BITS = 20, 8
 
 
 def words_of(text: str | None) -> list[str]:
@@ -287,7 +289,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                     item_ids = [detector.items[k] for k in item]
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array([i for i, _ in item_ids]), pa.array(distance, pa.int32()), pa.array([len(w) for _, w in item_ids], pa.int32()), pa.array(first, pa.int32()), pa.array(end, pa.int32())], [key, "item_id", "distance", "n_words", "first_word", "end_word"])
 
-        one = rows.mapInArrow(run, f"{key} {kind}, item_id {item_kind}, distance int, n_words int, first_word int, end_word int")
+        one = rows.mapInArrow(tidy(run), f"{key} {kind}, item_id {item_kind}, distance int, n_words int, first_word int, end_word int")
         found = one if found is None else found.unionByName(one)
     return found if found is not None else spark.createDataFrame([], f"{key} {kind}, item_id {item_kind}, distance int, n_words int, first_word int, end_word int")
 
@@ -303,5 +305,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
             for b in batches:
                 yield b.filter(pa.array([not m for m in detector.scan(b.column(at).to_pylist())], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkdom.llm.common import drop_table, materialize
+from sparkdom.llm.common import drop_table, materialize, tidy
 from sparkdom.llm.components import components, stars
 
 #: Shingle hashes counted at once; group size up to which all members are compared.
@@ -44,13 +44,14 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, key: str, text: str, words: int = 4, seed: int = 42) -> DataFrame:
-    rows = df.select(F.col(key).alias("id"), F.col(text))
+    """id, text_hash, fp of every row."""
+    rows = df.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), words, seed) for t in b.column(1)], pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t.as_py(), words, seed) for t in b.column(2)], pa.int64())], ["id", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(tidy(run), f"id {rows.schema[0].dataType.simpleString()}, text_hash long, fp long")
 
 
 def segments(k: int) -> list[tuple[int, int]]:
@@ -138,28 +139,34 @@ def links(distinct: DataFrame, k: int) -> DataFrame:
         signed = lambda xs: np.array(xs, np.uint64).view(np.int64).tolist()
         return stars((signed(us), signed(vs)) for us, vs in found if us)
 
-    return keyed.mapInArrow(run, "u long, v long")
+    return keyed.mapInArrow(tidy(run), "u long, v long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
-    """key, fingerprint (16 hex digits), component_id (smallest key reachable) of every row; other columns are left out."""
+def _classes(df: DataFrame, key: str, text: str, k: int, words: int, seed: int) -> DataFrame:
+    """id, text_hash, fp, root (a fingerprint that names the component) and component_id of every row."""
     spark = df.sparkSession
     fps, _ = materialize(spark, fingerprints(df, key, text, words, seed), "fingerprints")
     distinct, distinct_path = materialize(spark, fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = components(spark, links(distinct, k), shrunk=True)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named, _ = materialize(spark, rooted.join(smallest, "root").select("fp", "component_id"), "named")
+    named, _ = materialize(spark, rooted.join(smallest, "root").select("fp", "root", "component_id"), "named")
     drop_table(spark, distinct_path)
-    out = fps.join(named, "fp")
-    return out.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(named, "fp")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
+    """key, fingerprint (16 hex digits), component_id (smallest key reachable) of every row; other columns are left out."""
+    rows = _classes(df, key, text, k, words, seed)
+    return rows.select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
-    """df with one row of each component: that with the smallest key, and of rows with that key one."""
-    found = near_duplicates(df, key, text, k, words, seed)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count("*").alias("n"))
-    kept, _ = materialize(df.sparkSession, kept.select(F.col(key).alias("_kept"), F.col("n").alias("_n")), "kept")
-    rows = df.join(kept, df[key].eqNullSafe(kept["_kept"]))
-    once, more = rows.where("_n = 1").select(*[df[c] for c in df.columns]), rows.where("_n > 1").select(*[df[c] for c in df.columns])
-    return once.unionByName(more.dropDuplicates([key]))
+    """df with one row of each component: one with the smallest key (of several texts under it, one; of repeated rows, one)."""
+    first = _classes(df, key, text, k, words, seed).where(F.col("id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("root", "id", "text_hash").agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("text_hash", "id", "n")).alias("one"))
+    kept, _ = materialize(df.sparkSession, first.select(F.col("one.id").alias("_id"), F.col("one.text_hash").alias("_hash"), F.col("one.n").alias("_n")), "kept")
+    rows = df.join(kept, df[key].eqNullSafe(kept["_id"]) & (F.xxhash64(df[text]) == kept["_hash"]))
+    own = [df[c] for c in df.columns]
+    once, more = rows.where("_n = 1").select(*own), rows.where("_n > 1").select(*own)
+    return once.unionByName(more.dropDuplicates([key, text]))

@@ -35,11 +35,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdom.llm.common import drop_table, materialize, release
+from sparkdom.llm.common import drop_table, materialize, release, tidy
 
 GRAM, BLOCK = 48, 12
 #: Bytes hashed at once; places in it take the low bits of a packed number.
-PLACE_BITS = 20
+PLACE_BITS = 18
 CHUNK = 1 << PLACE_BITS
 _state: dict[str, np.ndarray] = {}
 
@@ -143,12 +143,13 @@ def _entries(docs: DataFrame, width: int) -> DataFrame:
                 doc = number[text]
                 yield pa.RecordBatch.from_arrays([pa.array(t1[doc]), pa.array(t2[doc]), pa.array((place - starts[text] + base[text]).astype(np.int32)), pa.array((place - first).astype(np.int32)), pa.array((place - last).astype(np.int32)), _signed(a), _signed(u)], ["t1", "t2", "place", "far", "near", "a", "u"])
 
-    return docs.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, place int, far int, near int, a long, u long")
+    return docs.select("t1", "t2", "text").mapInArrow(tidy(run), "t1 long, t2 long, place int, far int, near int, a long, u long")
 
 
-def _contexts(packed: DataFrame, runs: DataFrame, width: int) -> DataFrame:
+def _contexts(packed: DataFrame, runs: DataFrame, width: int) -> tuple[DataFrame, str]:
     """a, u, n, far, near and the bytes of one run of each kind."""
-    lists = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "u", "n", "place", "far", "near")).alias("runs"))
+    spark = packed.sparkSession
+    lists, path = materialize(spark, runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "u", "n", "place", "far", "near")).alias("runs")), "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -161,8 +162,8 @@ def _contexts(packed: DataFrame, runs: DataFrame, width: int) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["a", "u", "n", "far", "near", "bytes"])
 
-    found = packed.join(lists, ["t1", "t2"]).select("blob", "runs").mapInArrow(run, "a long, u long, n long, far int, near int, bytes binary")
-    return found.groupBy("a", "u").agg(F.first("n").alias("n"), F.first("far").alias("far"), F.first("near").alias("near"), F.first("bytes").alias("bytes"))
+    found = packed.join(lists, ["t1", "t2"]).select("blob", "runs").mapInArrow(tidy(run), "a long, u long, n long, far int, near int, bytes binary")
+    return found.groupBy("a", "u").agg(F.first("n").alias("n"), F.first("far").alias("far"), F.first("near").alias("near"), F.first("bytes").alias("bytes")), path
 
 
 def _joined(b: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray, Hashes]]:
@@ -195,7 +196,7 @@ def _blocks(contexts: DataFrame, width: int) -> DataFrame:
                 v[whole] = hashes((place - hi)[whole], (place - lo + width)[whole])
                 yield pa.RecordBatch.from_arrays([pa.array(a[rows][row]), pa.array(u[rows][row]), pa.array(n[rows][row]), pa.array(block.astype(np.int32)), _signed(k), _signed(v)], ["a", "u", "n", "block", "k", "v"])
 
-    return contexts.mapInArrow(run, "a long, u long, n long, block int, k long, v long")
+    return contexts.mapInArrow(tidy(run), "a long, u long, n long, block int, k long, v long")
 
 
 def _windows(contexts: DataFrame, width: int) -> DataFrame:
@@ -214,7 +215,7 @@ def _windows(contexts: DataFrame, width: int) -> DataFrame:
                 start = (begins + far[rows])[row] - back
                 yield pa.RecordBatch.from_arrays([pa.array(a[rows][row]), pa.array(u[rows][row]), pa.array(n[rows][row]), pa.array(back.astype(np.int32)), _signed(hashes(start, start + width) ^ mix(back.astype(np.uint64)))], ["a", "u", "n", "back", "k"])
 
-    return contexts.mapInArrow(run, "a long, u long, n long, back int, k long")
+    return contexts.mapInArrow(tidy(run), "a long, u long, n long, back int, k long")
 
 
 def _spans(edges: DataFrame, packed: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
@@ -222,7 +223,8 @@ def _spans(edges: DataFrame, packed: DataFrame, width: int) -> tuple[DataFrame,
     spark = edges.sparkSession
     kinds = edges.groupBy("a", "u").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "place", "far", "near")).alias("one")).select("a", "u", "n", "one.*")
     kinds, kinds_path = materialize(spark, kinds, "kinds")
-    contexts, contexts_path = materialize(spark, _contexts(packed, kinds, width), "contexts")
+    found, runs_path = _contexts(packed, kinds, width)
+    contexts, contexts_path = materialize(spark, found, "contexts")
     blocks, blocks_path = materialize(spark, _blocks(contexts, width), "blocks")
     same, same_path = materialize(spark, blocks.groupBy("a", "k").agg(F.sum("n").alias("all"), F.min("v").alias("v0"), F.max("v").alias("v1")).where("all >= 2"), "same")
     live, live_path = materialize(spark, blocks.join(same, ["a", "k"]).select("a", "u", "block", (F.col("v0") == F.col("v1")).alias("done")), "live")
@@ -233,7 +235,7 @@ def _spans(edges: DataFrame, packed: DataFrame, width: int) -> tuple[DataFrame,
     hits = hits.union(live.where("done").select("a", "u", (F.col("block") * BLOCK).alias("lo"), (F.col("block") * BLOCK + BLOCK - 1).alias("hi")))
     alone = kinds.where("n = 1").join(hits, ["a", "u"]).select("t1", "t2", (F.col("place") - F.col("hi")).alias("s"), (F.col("place") - F.col("lo") + width).alias("e"))
     several = edges.join(kinds.where("n >= 2").select("a", "u"), ["a", "u"]).select("t1", "t2", (F.col("place") - F.col("far")).alias("s"), (F.col("place") - F.col("near") + width).alias("e"))
-    return alone.union(several), [kinds_path, contexts_path, blocks_path, same_path, live_path, single_path, twice_path]
+    return alone.union(several), [kinds_path, runs_path, contexts_path, blocks_path, same_path, live_path, single_path, twice_path]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -258,7 +260,7 @@ def covered(docs: DataFrame, text: str = "text", width: int = 200) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t.as_py().encode()) for t in b.column(2)], pa.binary())], ["t1", "t2", "blob"])
 
-    packed = hashed.mapInArrow(pack, "t1 long, t2 long, blob binary")
+    packed = hashed.mapInArrow(tidy(pack), "t1 long, t2 long, blob binary")
     entries, entries_path = materialize(spark, _entries(hashed, width), "suffixes")
     # counts are written first: the join then deals both sides anew, and Spark can split a frequent anchor
     same, same_path = materialize(spark, entries.groupBy("a").agg(F.count("*").alias("all"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("all >= 2"), "anchors")
@@ -296,7 +298,7 @@ def remove(docs: DataFrame, text: str = "text", width: int = 200, keep_text: boo
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(blobs, pa.binary())], [*b.schema.names[:-1], "_blob"])
 
     kept_fields = ", ".join(f"`{c}` {fields[c]}" for c in others)
-    packed = held.mapInArrow(pack, f"_t1 long, _t2 long, {kept_fields}, _blob binary")
+    packed = held.mapInArrow(tidy(pack), f"_t1 long, _t2 long, {kept_fields}, _blob binary")
     lists = lists.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("spans").alias("_spans"))
     rows = packed.join(lists, ["_t1", "_t2"], "left").select(*[f"`{c}`" for c in others], "_blob", "_spans")
     k = len(others)
@@ -323,5 +325,5 @@ def remove(docs: DataFrame, text: str = "text", width: int = 200, keep_text: boo
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(counts, pa.int64()), pa.array(shas, pa.string())], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     if keep_text:
-        return rows.mapInArrow(cut, f"{kept_fields}, `{text}` string").select(*[f"`{c}`" for c in docs.columns])
-    return rows.mapInArrow(cut, f"{kept_fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return rows.mapInArrow(tidy(cut), f"{kept_fields}, `{text}` string").select(*[f"`{c}`" for c in docs.columns])
+    return rows.mapInArrow(tidy(cut), f"{kept_fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkdom.llm import labelled
+from sparkdom.llm.common import tidy
 
 WORD = re.compile(r"[^\W\d_]+")
-BUCKETS, MEMO = 1 << 22, 1 << 18
+BUCKETS, MEMO = 1 << 22, 1 << 17
 #: Lengths of word beginnings that are features besides the whole word.
 PREFIXES = (4, 5, 6, 7)
 #: Terms that name groups; each is swapped for another of its list.
@@ -149,7 +150,7 @@ def train(sample: DataFrame, text: str = "text", groups: tuple[tuple[str, ...],
             lists = [pa.array([g[k] for g in c], pa.list_(pa.int32())) for c in (got, moved) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["y", "ids", "n", "moved", "by"])
 
-    rows = sample.select("y", text).mapInArrow(run, "y int, ids array<int>, n array<int>, moved array<int>, by array<int>").toArrow()
+    rows = sample.select("y", text).mapInArrow(tidy(run), "y int, ids array<int>, n array<int>, moved array<int>, by array<int>").toArrow()
     y = rows.column("y").to_numpy().astype(np.float64)
     if not 0 < y.sum() < len(y):
         return None
@@ -177,14 +178,14 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
             for b in batches:
                 yield b.filter(pa.array(scores(b.column(at)) < threshold))
 
-        return rows.mapInArrow(rest, docs.schema)
+        return rows.mapInArrow(tidy(rest), docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = scores(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [key, "score", "predicted"])
 
-    return rows.mapInArrow(run, f"{key} {rows.schema[0].dataType.simpleString()}, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"{key} {rows.schema[0].dataType.simpleString()}, score double, predicted int")
 
 
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", bound: int = 5000) -> Model | None:
