@@ -96,7 +96,7 @@ def select(ids: list[np.ndarray], y: np.ndarray, least: int = 3, z: float = 4.0,
     return np.sort(every[keep[np.argsort(-score[keep], kind="stable")[:most]]])
 
 
-def fit(x: Rows, y: np.ndarray, pairs: Rows, l1: float = 2e-4, fairness: float = 5.0, steps: int = 500) -> tuple[float, np.ndarray]:
+def fit(x: Rows, y: np.ndarray, pairs: Rows, l1: float = 5e-5, fairness: float = 5.0, steps: int = 1000) -> tuple[float, np.ndarray]:
     """Proximal gradient with momentum: log loss + fairness * mean squared score change + l1 * |w|."""
     n, m = x.shape[0], max(pairs.shape[0], 1)
     share = y.mean()
