@@ -25,6 +25,7 @@ def main() -> None:
     from sparkdom.operators.parse import nodes, parse_events, parse_pages
     from sparkdom.operators.select import query, select, select_first
     from sparkdom.queries import pages, spread
+    from sparkdom.ship import ship
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
@@ -38,6 +39,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     source = spread(pages(spark, sf_dir)).select("page_id", "html").cache()
     n, chars = source.selectExpr("count(*)", "sum(length(html))").first()
     parsed = parse_pages(source).cache()

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from sparkdom import __version__
 from sparkdom.plans.css import SelectorError, parse_selector
 from sparkdom.plans.targeted import compile_targeted, stops_early
+from sparkdom.ship import ship
 
 USAGE = """Usage: sparkdom [options] <path|->
 
@@ -158,6 +159,7 @@ def matches(o: Options, data: bytes) -> list[dict]:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.log.level", "ERROR").getOrCreate()
+    ship(spark)
     df = spark.createDataFrame([(0, text)], "page_id long, html string")
     return [r.asDict() for r in select(df, selector, fields, limit=limit, targeted=targeted, prefilter=False).orderBy("pos").collect()]
 

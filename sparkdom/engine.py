@@ -10,6 +10,7 @@ from sparkdom.functions.sql import register
 from sparkdom.operators import parse as P
 from sparkdom.operators import select as S
 from sparkdom.plans.targeted import compile_targeted
+from sparkdom.ship import ship
 from sparkdom.sources import pages as R
 
 
@@ -18,6 +19,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, key: str = "page_id", html: str = "html"):
         self.spark, self.key, self.html = spark, key, html
+        ship(spark)
 
     def read(self, path: str) -> DataFrame:
         return R.read_table(self.spark, path, self.key, self.html)
