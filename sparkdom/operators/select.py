@@ -13,7 +13,7 @@ from sparkdom.html.markdown import to_markdown
 from sparkdom.html.parse import parse
 from sparkdom.html.serialize import SerializeError, compact, inside, leaf, to_html
 from sparkdom.operators.parse import kind_of, nodes, per_page, trees
-from sparkdom.plans.css import parse_selector
+from sparkdom.plans.css import SelectorError, parse_selector
 from sparkdom.plans.early import decidable, find_first
 from sparkdom.plans.matcher import first_n
 from sparkdom.plans.relational import flag, looks_around
@@ -98,6 +98,20 @@ def select_first(df: DataFrame, selector: str, fields: Sequence[str] = ("name",
     return select(df, selector, fields, limit=1, targeted=True, **options)
 
 
+def select_statistics(df: DataFrame, selector: str, key: str = "page_id", html: str = "html") -> DataFrame:
+    """For the first match of a targeted selector: characters of each page, those read, elements made, and whether there was a match."""
+    parsed = compile_targeted(selector)
+    if not decidable(parsed):
+        raise SelectorError(f"{selector!r} is not decided before the end of a page")
+
+    def rows(_, text) -> Iterator[tuple]:
+        seen: dict[str, int] = {}
+        node = find_first(text, parsed, statistics=seen)
+        yield len(text or ""), seen["read"], seen["made"], node is not None
+
+    return per_page(df, key, html, rows, "characters int, characters_read int, elements_made int, found boolean")
+
+
 def matched(node_table: DataFrame, selector: str, key: str = "page_id") -> DataFrame:
     """The rows of a nodes table that match, with no other change."""
     return flag(node_table, selector, key, "_matched").where("_matched").drop("_matched")

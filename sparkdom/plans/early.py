@@ -1,8 +1,8 @@
 """The first match of a page, without reading on once nothing can change it any more.
 
 A candidate is judged when it is closed and the tree builder is in a calm state: no
-formatting elements to reopen, no table, select or template open, and the body beyond
-replacement by a frameset. From there on elements are only added behind it, so what it is,
+formatting element, table, select or template open, and the body beyond
+replacement by a frameset; and nothing so far was fostered or moved. From there on elements are only added behind it, so what it is,
 where it stands and what it holds are final. Pages that never get calm are parsed to the
 end and searched as a whole.
 """
@@ -47,24 +47,44 @@ class _Watcher(TreeBuilder):
 
     def __init__(self, tags: frozenset[str] | None):
         super().__init__()
-        self.tags, self.seen = tags, []
+        self.tags, self.seen, self.made = tags, [], 0
+        self.displaced = False  # something did not go to the end of the document
 
     def insert(self, node: Node) -> Node:
-        if node.kind == "element" and (self.tags is None or node.name.lower() in self.tags):
-            self.seen.append(node)
+        if node.kind == "element":
+            self.made += 1
+            if self.tags is None or node.name.lower() in self.tags:
+                self.seen.append(node)
         return super().insert(node)
 
+    def put(self, node: Node, where: tuple[Node, int | None]) -> Node:
+        self.displaced |= where[1] is not None
+        return super().put(node, where)
+
+    def adopt(self, name: str) -> None:
+        self.displaced |= not self.is_open(name)  # may copy and move elements
+        super().adopt(name)
+
     def calm(self) -> bool:
-        return not self.formatting and not self.templates and not self.saw_selectedcontent and all(n.ns == "html" and n.name not in UNSETTLED for n in self.stack)
+        # formatting elements that only wait to be opened anew change nothing that is there
+        waiting = all(e is None or not any(n is e[0] for n in self.stack) for e in self.formatting)
+        return waiting and not self.displaced and not self.templates and not self.saw_selectedcontent and all(n.ns == "html" and n.name not in UNSETTLED for n in self.stack)
 
 
-def find_first(html: str | bytes | None, selector: SelectorList, encoding: str | None = None) -> Node | None:
-    """What query_first() gives for the whole page."""
+def find_first(html: str | bytes | None, selector: SelectorList, encoding: str | None = None, statistics: dict[str, int] | None = None) -> Node | None:
+    """What query_first() gives for the whole page. statistics gets the characters read and the elements made."""
     if isinstance(html, (bytes, bytearray, memoryview)):
         html, _ = decode_html(bytes(html), encoding)
     tags = [next((s.name.lower() for s in b.compounds[-1] if s.kind == "tag"), None) for b in selector.branches]
     builder = _Watcher(None if None in tags else frozenset(tags))
     tokenizer = Tokenizer(html or "", builder)
+    found = _search(tokenizer, builder, selector)
+    if statistics is not None:
+        statistics |= {"read": min(tokenizer.pos, len(tokenizer.text)), "made": builder.made}
+    return found
+
+
+def _search(tokenizer: Tokenizer, builder: _Watcher, selector: SelectorList) -> Node | None:
     while tokenizer.step():
         if not builder.seen or tokenizer.pending or tokenizer.state != "data":
             continue
@@ -74,9 +94,9 @@ def find_first(html: str | bytes | None, selector: SelectorList, encoding: str |
         for node in builder.seen:
             if any(n is node for n in builder.stack) or left:
                 left.append(node)  # still open, or behind one that is
-            elif builder.frameset_ok and not _in_head(node):
-                left.append(node)
-            elif not _attached(node, builder.document):
+            elif (top := _top(node)).kind == "fragment" or builder.frameset_ok and not _in_head(node):
+                left.append(node)  # whether its template stays, or the body, is open
+            elif top is not builder.document:
                 continue
             elif matcher.matches(node, selector):
                 return node
@@ -92,7 +112,7 @@ def _in_head(node: Node) -> bool:
     return False
 
 
-def _attached(node: Node, document: Node) -> bool:
+def _top(node: Node) -> Node:
     while node.parent is not None:
         node = node.parent
-    return node is document
+    return node

@@ -435,3 +435,62 @@ def mut_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("MUT6_clone", f"SELECT page_id, CAST(pos AS INT) AS pos FROM ({LINK}) UNION ALL SELECT page_id, CAST(max(n) + 1 AS INT) FROM ({LINK}) GROUP BY page_id")
 def mut_clone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed_items(M.clone(P.parse_pages(spread(pages(spark, sf_dir))), "nav li:last-child"))
+
+
+# --- templates, fragments, orders, statistics
+
+
+def in_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose navigation stands in a template."""
+    html = F.replace(F.replace("html", F.lit("<nav>"), F.lit("<template><nav>")), F.lit("</nav>"), F.lit("</nav></template>"))
+    return pages(spark, sf_dir).withColumn("html", html)
+
+
+@add("QRY5_template_content", f"SELECT page_id, CAST(count(*) AS BIGINT) AS inside, CAST(0 AS BIGINT) AS across FROM ({LINK}) GROUP BY page_id")
+def template_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template content is searched, but its elements have no ancestors outside it."""
+    rows = S.flag(S.flag(P.nodes(P.parse_pages(spread(in_templates(spark, sf_dir)))).repartition("page_id"), "nav a", "page_id", "inside"), "template a", "page_id", "across")
+    return rows.where("name = 'a'").groupBy("page_id").agg(F.sum(F.col("inside").cast("long")).alias("inside"), F.sum(F.col("across").cast("long")).alias("across"))
+
+
+@add("JN6_template_owner", "SELECT page_id, 'template' AS owner, CAST(1 AS INT) AS tree_id FROM pages WHERE html LIKE '%<nav>%'")
+def template_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.nodes(P.parse_pages(spread(in_templates(spark, sf_dir)))).repartition("page_id")
+    owners = rows.where("name = 'template'").select("page_id", F.col("node_id").alias("owner_id"), F.col("name").alias("owner"))
+    return rows.where("kind = 'fragment'").join(owners, ["page_id", "owner_id"]).select("page_id", "owner", "tree_id")
+
+
+@add("AG2_ordered_concat", f"SELECT page_id, string_agg(text, '' ORDER BY pos) AS record FROM ({LINK}) GROUP BY page_id")
+def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text nodes below the navigation, put together in document order."""
+    rows = P.nodes(P.parse_pages(spread(pages(spark, sf_dir)))).repartition("page_id")
+    links = S.matched(rows, "nav a").select("page_id", F.col("node_id").alias("parent_id"))
+    return S.records(rows.where("kind = 'text'").join(links, ["page_id", "parent_id"], "left_semi"), C.own_text(), separator="")
+
+
+@add("FN_T3_own_text", "SELECT page_id, " + decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)") + " AS text FROM pages")
+def own_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.nodes(P.parse_pages(spread(pages(spark, sf_dir)))).repartition("page_id")
+    titles = S.matched(rows, "head > title").select("page_id", F.col("node_id").alias("parent_id"))
+    return rows.join(titles, ["page_id", "parent_id"], "left_semi").select("page_id", C.own_text().alias("text"))
+
+
+@add("ST2_sorted_attributes", "SELECT page_id, 'a=2,b=1,z=3' AS attributes FROM pages WHERE html LIKE '%<article>%'")
+def sorted_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit("<article>"), F.lit("<article z=3 a=2 b=1>")))
+    rows = S.query(P.parse_pages(spread(marked)), "article")
+    return rows.select("page_id", F.array_join(F.transform(C.sorted_attrs(), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("attributes"))
+
+
+@add("TB18_fragment", f"SELECT page_id, CAST(count(*) AS BIGINT) AS n FROM ({LINK}) GROUP BY page_id")
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inside of each list, parsed as what a <ul> would hold."""
+    lists = pages(spark, sf_dir).select("page_id", F.regexp_extract("html", "(?s)<ul>(.*?)</ul>", 1).alias("html")).where("html <> ''")
+    rows = P.nodes(P.parse_pages(spread(lists), context=("ul", "html")))
+    return rows.where("name = 'li' AND depth = 1").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@add("TS11_read_statistics")
+def read_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far into each page the first paragraph's search reads, and how many elements it makes."""
+    return S.select_statistics(spread(pages(spark, sf_dir)), "article p")
