@@ -70,11 +70,14 @@ class Rows:
     """A sparse matrix by rows, over chosen buckets."""
 
     def __init__(self, ids: list[np.ndarray], values: list[np.ndarray], chosen: np.ndarray):
-        at = [np.searchsorted(chosen, i).clip(max=max(len(chosen) - 1, 0)) for i in ids]
-        hit = [chosen[a] == i if len(chosen) else np.zeros(len(i), bool) for a, i in zip(at, ids, strict=True)]
-        self.row = np.repeat(np.arange(len(ids)), [h.sum() for h in hit])
-        self.col = np.concatenate([a[h] for a, h in zip(at, hit, strict=True)] or [np.array([], int)])
-        self.val = np.concatenate([v[h] for v, h in zip(values, hit, strict=True)] or [np.array([])]).astype(np.float64)
+        rows, cols, vals = [np.array([], np.int64)], [np.array([], np.int64)], [np.array([])]
+        for k, (i, v) in enumerate(zip(ids, values, strict=True) if len(chosen) else ()):
+            at = np.searchsorted(chosen, i).clip(max=len(chosen) - 1)
+            hit = chosen[at] == i
+            rows.append(np.full(int(hit.sum()), k))
+            cols.append(at[hit])
+            vals.append(v[hit])
+        self.row, self.col, self.val = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals).astype(np.float64)
         self.shape = (len(ids), len(chosen))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -86,9 +89,10 @@ class Rows:
 
 def select(ids: list[np.ndarray], y: np.ndarray, least: int = 3, z: float = 4.0, most: int = 30_000) -> np.ndarray:
     """Buckets whose share among toxic and other texts differs by z standard errors."""
-    flat, owner = np.concatenate(ids), np.repeat(y, [len(i) for i in ids])
-    every, at = np.unique(flat, return_inverse=True)
-    a, n = np.bincount(at, owner, len(every)), np.bincount(at, minlength=len(every))
+    every, n = np.unique(np.concatenate(ids), return_counts=True)
+    toxic, times = np.unique(np.concatenate([i for i, t in zip(ids, y, strict=True) if t]), return_counts=True)
+    a = np.zeros(len(every))
+    a[np.searchsorted(every, toxic)] = times
     pos, neg = y.sum(), len(y) - y.sum()
     p = n / len(y)
     score = np.abs(a / pos - (n - a) / neg) / np.sqrt(p * (1 - p) * (1 / pos + 1 / neg) + 1e-12)
