@@ -31,7 +31,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Stands for the end of a word inside the automaton; no byte maps to it.
 END = "\ue000"
 #: Words kept in a worker's memo, and bytes of ids that are decoded at once.
-MEMO, SLICE = 1 << 17, 1 << 18
+MEMO, SLICE = 1 << 18, 1 << 18
 #: White space to str.split() that the pattern does not count as such.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"\s+")
@@ -90,11 +90,6 @@ class BacktrackingBPE:
         self.chunks, self.pieces, self.neighbours = Memo(MEMO), Memo(MEMO), Memo(MEMO)
 
     def compatible(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        got = self.neighbours.young.get(key)
-        return self.neighbours.put(key, self._compatible(left, right)) if got is None else got
-
-    def _compatible(self, left: int, right: int) -> bool:
         """Whether the merges could leave these two side by side."""
         limit = 1 << 60
         while True:
@@ -120,31 +115,34 @@ class BacktrackingBPE:
         text = (piece if piece.isascii() and piece.isalpha() else "".join([self.alphabet[b] for b in piece.encode()])) + (END if self.suffix else "")
         if (token := self.whole.get(text)) is not None:
             return [token]
-        n, longest = len(text), {}
+        n, longest, length, shorter, known = len(text), {}, self.length, self.shorter, self.neighbours
         for end, token in self.automaton.iter(text):
-            longest[end + 1 - self.length[token]] = token
+            longest[end + 1 - length[token]] = token
         alive = bytearray(b"\1") * (n + 1)
         if self.suffix:
             alive[n - 1] = 0
         out: list[int] = []
-        at, token = 0, longest.get(0)
+        at, token, last = 0, longest.get(0), None
         while token is not None:
-            last = out[-1] if out else None
-            while True:
-                end = at + self.length[token]
-                if alive[end] and (last is None or self.compatible(last, token)):
+            end = at + length[token]
+            if alive[end]:
+                if last is None:
+                    fits = True
+                elif (fits := known.young.get(last << 32 | token)) is None:
+                    fits = known.put(last << 32 | token, self.compatible(last, token))
+                if fits:
                     out.append(token)
-                    at, token = end, longest.get(end)
-                    break
-                if self.shorter[token] >= 0:
-                    token = self.shorter[token]
+                    at, last, token = end, token, longest.get(end)
                     continue
-                if last is None:
-                    raise ValueError(f"the vocabulary cannot spell {piece!r}")
-                alive[at] = 0
-                out.pop()
-                at, token = at - self.length[last], last
-                break
+            if shorter[token] >= 0:
+                token = shorter[token]
+                continue
+            if last is None:
+                raise ValueError(f"the vocabulary cannot spell {piece!r}")
+            alive[at] = 0  # nothing that ends here leads on
+            token = out.pop()
+            at -= length[token]
+            last = out[-1] if out else None
         if at != n:
             raise ValueError(f"the vocabulary cannot spell {piece!r}")
         return out
@@ -159,8 +157,11 @@ class BacktrackingBPE:
 
     def chunk(self, raw: str) -> bytes:
         """Ids of a stretch without white space."""
-        if raw.isascii() and raw.isalpha():
-            return self.piece(raw.lower())
+        if raw.isascii():
+            if raw.isalpha():
+                return self.piece(raw.lower())
+            if raw[:-1].isalpha():  # a word and its punctuation mark, or a digit
+                return self.piece(raw[:-1].lower()) + self.piece(raw[-1])
         out = []
         for k, part in enumerate(self.added_split.split(raw) if self.added_split else [raw]):
             if k % 2:
