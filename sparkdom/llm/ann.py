@@ -3,7 +3,9 @@
 A vector is coded as a sum of one full-dimensional codeword from each of M codebooks,
 found by beam search; its code and the norm of that sum are stored. For a query,
 |q - x|^2 ~ |q|^2 - 2 sum_m <q, c_m> + |x'|^2 comes from a table of inner products. The
-best of every block of rows are then ranked by the exact distance, in double precision.
+best of every block of rows, and all that tie with the last of them, are then ranked by
+the exact distance, in double precision. Equal vectors of a block are one entry, with as
+many of its smallest ids as any query can be given, so that copies crowd nothing out.
 
 Every row is coded; only the codebooks are fitted on a bounded sample. Queries go
 against all blocks in groups of bounded size.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sparkdom.llm.common import materialize
 
-#: Rows of a block, rows of a block that are ranked exactly, queries scored at once, bytes of queries broadcast at once.
+#: Rows of a block, distinct vectors of a block that are ranked exactly (more where scores tie), queries scored at once, bytes of queries broadcast at once.
 BLOCK, RERANK, TOGETHER, GROUP_BYTES = 4096, 200, 256, 32 << 20
 
 
@@ -106,19 +108,35 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return flat.astype(kind, copy=False).reshape(len(column), -1)
 
 
-def build(vectors: DataFrame, quantizer: AdditiveQuantizer, kind: str) -> DataFrame:
-    """Blocks of (ids, codes, norms, vectors) as binaries."""
+def collapse(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct vectors, how many ids each has, and the ids, vector by vector.
+
+    A query is given k ids of one vector at most, and none that is its own. So of an id's
+    rows k are enough, and of what is left the 2k smallest: dropping any id leaves k.
+    """
+    same = np.ascontiguousarray(x + x.dtype.type(0))  # no negative zeros
+    _, first, entry = np.unique(same.view(np.dtype((np.void, same.strides[0]))).ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort((ids, entry))
+    for columns, most in (((entry, ids), k), ((entry,), 2 * k)):
+        new = np.any([np.diff(c[order], prepend=c[order][:1] - 1) != 0 for c in columns], 0)
+        place = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        order = order[place < most]
+    return x[first], np.bincount(entry[order], minlength=len(first)).astype(np.int32), ids[order]
+
+
+def build(vectors: DataFrame, quantizer: AdditiveQuantizer, kind: str, k: int) -> DataFrame:
+    """Blocks of (ids, how many of each vector, codes, norms, distinct vectors) as binaries."""
     sent = vectors.sparkSession.sparkContext.broadcast(quantizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, BLOCK):
                 part = b.slice(s, BLOCK)
-                x = _matrix(part.column(1), np.dtype(kind))
+                x, each, ids = collapse(part.column(0).to_numpy(), _matrix(part.column(1), np.dtype(kind)), k)
                 codes, norms = sent.value.encode(x)
-                yield pa.RecordBatch.from_pydict({"n": pa.array([len(x)], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("ids", part.column(0).to_numpy()), ("codes", codes), ("norms", norms.astype(np.float32)), ("vectors", x))}})
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(x)], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("ids", ids), ("each", each), ("codes", codes), ("norms", norms.astype(np.float32)), ("vectors", x))}})
 
-    return vectors.mapInArrow(run, "n int, ids binary, codes binary, norms binary, vectors binary")
+    return vectors.mapInArrow(run, "n int, ids binary, each binary, codes binary, norms binary, vectors binary")
 
 
 def _closest(ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,14 +154,20 @@ def _search(index: DataFrame, quantizer: AdditiveQuantizer, qids: np.ndarray, q:
         for b in batches:
             for r in b.to_pylist():
                 ids, codes, norms, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["codes"], np.uint8).reshape(r["n"], -1), np.frombuffer(r["norms"], np.float32), np.frombuffer(r["vectors"], np.dtype(kind)).reshape(r["n"], -1)
+                each = np.frombuffer(r["each"], np.int32)
+                ends = np.cumsum(each)
                 top = min(max(rerank, 2 * k), r["n"])
                 for s in range(0, len(qids), TOGETHER):
                     part = aq.scores(q[s : s + TOGETHER], codes, norms)
-                    near = np.argpartition(part, top - 1, 1)[:, :top]
-                    for i, rows in enumerate(near, s):
-                        rows = rows[ids[rows] != qids[i]]
+                    cut = np.partition(part, top - 1, 1)[:, top - 1 : top]
+                    for i, near in enumerate(part <= cut, s):
+                        rows = np.flatnonzero(near)
                         d = np.sqrt(((x[rows].astype(np.float64) - q[i]) ** 2).sum(1))
-                        best[i] = _closest(np.concatenate([best[i][0], ids[rows]]), np.concatenate([best[i][1], d]), k)
+                        n = each[rows]
+                        at = np.arange(n.sum()) + np.repeat(ends[rows] - np.cumsum(n), n)
+                        found, d = ids[at], np.repeat(d, n)
+                        other = found != qids[i]
+                        best[i] = _closest(np.concatenate([best[i][0], found[other]]), np.concatenate([best[i][1], d[other]]), k)
         if sizes := [len(i) for i, _ in best]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, sizes)), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([d for _, d in best]))], ["query_id", "vec_id", "score"])
 
@@ -162,7 +186,7 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     rows = rows.where(F.size("embedding") == shape["dim"])
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column(0).combine_chunks()
     quantizer = AdditiveQuantizer().fit(_matrix(picked, np.float64))
-    index, _ = materialize(spark, build(rows.select("vec_id", "embedding"), quantizer, kind), "codes")
+    index, _ = materialize(spark, build(rows.select("vec_id", "embedding"), quantizer, kind, k), "codes")
     groups = -(-shape["q"] * (shape["dim"] + 1) * 8 // group_bytes)
     found = []
     for g in range(groups):

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -80,6 +81,33 @@ def test_neighbours(spark):
     assert ann.nearest(df.where("false"), F.col("vec_id") == 1).count() == 0
 
 
+def test_neighbours_among_copies(spark):
+    """Far more copies of a vector than a block ranks exactly: the smallest ids win, and what is nearer is not crowded out."""
+    rng = np.random.default_rng(5)
+    copy = rng.normal(size=8)
+    near = [copy + s * (0.5 + 0.05 * j) * np.eye(8)[j % 8] for j in range(8) for s in (1, -1)]
+    rows = [(i, copy if i % 3 == 1 else near[i % 16] + 0.01 * rng.normal(size=8) if i % 50 == 0 else 3 * rng.normal(size=8)) for i in range(4000)]
+    rows += [(7, copy)] * 15 + [(100, copy)] * 15  # repeated rows, one of them under a query's id
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in rows]
+    random.Random(5).shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    asks = lambda i: i % 100 == 0 or i in (1, 7)
+    good = [(i, np.array(v, float)) for i, v in rows]
+    got: dict = {}
+    for r in ann.nearest(df, (F.col("vec_id") % 100 == 0) | F.col("vec_id").isin(1, 7)).collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    for i in (1, 7):
+        q = next(v for j, v in good if j == i)
+        assert sorted(got[i]) == sorted((float(np.sqrt(((q - v) ** 2).sum())), j) for j, v in good if j != i)[:10]
+    hits = total = 0
+    for i, q in good:
+        if asks(i) and i not in (1, 7, 100):
+            want = sorted((float(np.sqrt(((q - v) ** 2).sum())), j) for j, v in good if j != i)[:10]
+            hits += (Counter(j for _, j in want) & Counter(j for _, j in got[i])).total()
+            total += 10
+    assert hits >= 0.98 * total
+
+
 def test_quantizer_scores():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 16))
