@@ -14,7 +14,7 @@ each keep their row; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,32 +107,34 @@ def _clusters(fps: np.ndarray, k: int) -> tuple[list[int], list[int]]:
     return us, vs
 
 
-def links(distinct: DataFrame, k: int) -> DataFrame:
-    """Edges (u, v) between fingerprints, enough to connect all that are within k bits."""
-    keyed = distinct.select("fp", F.explode(variants(F.col("fp"), k)).alias("variant")).repartition("variant").sortWithinPartitions("variant")
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        held_key, held = None, []
-        for b in batches:
-            if not b.num_rows:
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Fingerprints (first column) of rows that are next to each other with the same second column."""
+    held_key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        fps, keys = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+        cuts = np.flatnonzero(np.diff(keys)) + 1
+        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
+        first = 0
+        if held_key is not None and keys[0] == held_key:
+            held.append(fps[: ends[0]])
+            first = 1
+            if len(starts) == 1:
                 continue
-            fps, keys = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-            first = 0
-            if held_key is not None and keys[0] == held_key:
-                held.append(fps[: ends[0]])
-                first = 1
-                if len(starts) == 1:
-                    continue
-            if held:
-                yield np.concatenate(held)
-            many = np.flatnonzero(ends - starts > 1)
-            for g in many[(many >= first) & (many < len(starts) - 1)].tolist():
-                yield fps[starts[g] : ends[g]]
-            held_key, held = keys[-1], [fps[starts[-1] :]]
         if held:
             yield np.concatenate(held)
+        many = np.flatnonzero(ends - starts > 1)
+        for g in many[(many >= first) & (many < len(starts) - 1)].tolist():
+            yield fps[starts[g] : ends[g]]
+        held_key, held = keys[-1], [fps[starts[-1] :]]
+    if held:
+        yield np.concatenate(held)
+
+
+def links(distinct: DataFrame, k: int) -> DataFrame:
+    """Edges (u, v) between fingerprints, enough to connect all that are within k bits."""
+    keyed = distinct.select("fp", F.explode(variants(F.col("fp"), k)).alias("variant")).repartition("variant").sortWithinPartitions("variant")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (group_links(g, k) for g in groups(batches) if len(g) > 1)
@@ -144,10 +146,15 @@ def links(distinct: DataFrame, k: int) -> DataFrame:
 
 def _classes(df: DataFrame, key: str, text: str, k: int, words: int, seed: int) -> DataFrame:
     """id, text_hash, fp, root (a fingerprint that names the component) and component_id of every row."""
-    spark = df.sparkSession
-    fps, _ = materialize(spark, fingerprints(df, key, text, words, seed), "fingerprints")
+    fps, _ = materialize(df.sparkSession, fingerprints(df, key, text, words, seed), "fingerprints")
+    return classes(fps, lambda distinct: links(distinct, k))
+
+
+def classes(fps: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """_classes of id, text_hash, fp; linked makes the edges from the distinct fingerprints (fp, least)."""
+    spark = fps.sparkSession
     distinct, distinct_path = materialize(spark, fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(spark, links(distinct, k), shrunk=True)
+    roots = components(spark, linked(distinct), shrunk=True)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named, _ = materialize(spark, rooted.join(smallest, "root").select("fp", "root", "component_id"), "named")
@@ -163,7 +170,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, words: int = 4, seed: int = 42) -> DataFrame:
     """df with one row of each component: one with the smallest key (of several texts under it, one; of repeated rows, one)."""
-    first = _classes(df, key, text, k, words, seed).where(F.col("id").eqNullSafe(F.col("component_id")))
+    return one_of_each(df, _classes(df, key, text, k, words, seed), key, text)
+
+
+def one_of_each(df: DataFrame, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """df with one row of each component of rows (see classes)."""
+    first = rows.where(F.col("id").eqNullSafe(F.col("component_id")))
     first = first.groupBy("root", "id", "text_hash").agg(F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("text_hash", "id", "n")).alias("one"))
     kept, _ = materialize(df.sparkSession, first.select(F.col("one.id").alias("_id"), F.col("one.text_hash").alias("_hash"), F.col("one.n").alias("_n")), "kept")
     rows = df.join(kept, df[key].eqNullSafe(kept["_id"]) & (F.xxhash64(df[text]) == kept["_hash"]))

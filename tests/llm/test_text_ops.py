@@ -397,3 +397,35 @@ def test_repeats_odd(spark, odd, none):
     left = suffix_dedup.remove(odd, keep_text=True)
     assert left.columns == odd.columns and left.count() == len(ODD)
     assert [r.text for r in left.where("doc_id in (1, 4)").orderBy("doc_id").collect()] == [None, "x", "x"]
+
+
+def test_jaccard_near_copies(spark, odd, none, small):
+    """Pairs of 5-word Jaccard similarity 0.8 or more are linked, however far apart their SimHashes; others are not."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows, sets = [], {}
+    for base in range(12):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(30, 300))]
+        for copy in range(12):
+            v = list(w)
+            for _ in range(copy * len(w) // 200):
+                v[rng.randrange(len(v))] = f"x{rng.randrange(5000)}"
+            rows.append((100 + len(rows), " ".join(v), "en", "s", 0))
+    for i, t, *_ in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    up = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = {k: min(a, b) if r in (a, b) else r for k, r in up.items()}
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, small).collect())
+    assert kept == sorted(set(up.values())) and 12 < len(kept) < len(rows)
+    left = corpus_pipeline.drop_near_copies(spark, odd, small)
+    assert left.columns == odd.columns
+    # null and wordless texts are one group, and no key comes before any
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "4", "5", "None"]
+    assert corpus_pipeline.drop_near_copies(spark, none, small).count() == 0
