@@ -241,6 +241,39 @@ def test_leaks_against_brute_force(spark, odd, none):
     assert {r.doc_id for r in kept.collect()} == {d for d, *_ in docs} - {d for d, _ in got}
 
 
+def edited(words, k, pool, rng):
+    out = list(words)
+    for _ in range(k):
+        at = rng.randrange(len(out))
+        out[at : at + rng.randint(0, 1)] = [rng.choice(pool)] * rng.randint(0, 1)
+    return out
+
+
+@pytest.mark.parametrize("most", [96, 0])
+def test_leaks_of_long_items(monkeypatch, most):
+    """Many lengths and one very long item: little memory, all planted edits found; without tables too."""
+    monkeypatch.setattr(decontaminate, "MOST_TABLES", most)
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(2000)]
+    items = [(n, " ".join(rng.choices(pool, k=n))) for n in (*range(10, 300, 9), 20_000)]
+    detector = decontaminate.Detector(items)
+    assert sum(x.nbytes for t in detector.tables.values() for x in t) < 1 << 20
+    assert not detector.walks if not most else set(detector.lengths) - detector.walks.keys() == {20_000}
+    texts = [" ".join(rng.choices(pool, k=40) + edited(t.split(), decontaminate.edits(n, 0.8), pool, rng) + rng.choices(pool, k=40)) for n, t in items]
+    found = [{detector.items[m[0]] for m in got} for got in detector.scan([*texts, " ".join(rng.choices(pool, k=5000))])]
+    assert not found.pop()
+    hits = sum(n in f for (n, _), f in zip(items, found, strict=True))
+    assert hits >= 0.96 * len(items) if most else hits == len(items)
+    for got, text in zip(detector.scan(texts[:6]), texts, strict=False):
+        for item, distance, first, end in got:
+            assert brute_leak(decontaminate.words_of(dict(items)[detector.items[item]]), text.split()[first:end], distance)
+
+
+def test_similarity_has_a_floor():
+    with pytest.raises(ValueError, match="similarity"):
+        decontaminate.Detector([(1, "a b c")], 0.5)
+
+
 # --- near-copies
 
 
