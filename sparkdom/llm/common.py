@@ -20,13 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; our own only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    """The folder that all executors share: spark.checkpoint.dir, or what setCheckpointDir was given.
+
+    Where neither is set a folder of this machine serves a local master; any other is refused,
+    as each executor would write to a disk of its own.
+    """
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None)
+    if path is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return path or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+
+
+#: Tables written and not deleted yet, by application.
+_written: dict[str, set[str]] = {}
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
 
 
 def materialize(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it back: lineage ends there."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -34,6 +52,18 @@ def materialize(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFra
 def drop_table(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def leftovers(spark: SparkSession) -> list[str]:
+    """Tables that returned DataFrames still read, as they stand in the shared folder."""
+    return sorted(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete those tables: call it once the results have been written or are not needed any more."""
+    for path in leftovers(spark):
+        drop_table(spark, path)
 
 
 def fold(doc_id: str | Column, parts: int) -> Column:

@@ -1,6 +1,9 @@
 """WARC archives: a writer and a sequential reader.
 
-Every record is one gzip member. The reader inflates a member at a time with an
+Every record is one gzip member, and archives are `.warc.gz` files in the shared folder.
+They are written through Spark, so that lost tasks leave nothing behind and any file
+system will do: its text writer puts rows of bytes down as they are, each with a last
+zero byte, and zero is what a gzip member under 16 MB ends with. The reader inflates a member at a time with an
 incremental zlib object, frames the block by Content-Length and checks the block digest,
 and the payload digest where the record holds the payload.
 
@@ -23,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkdom.llm.common import materialize
+from sparkdom.llm.common import materialize, new_path
 
-#: An archive row is closed once it has this many compressed bytes.
-ARCHIVE_BYTES = 4 << 20
+#: A row of members is closed once it has this many compressed bytes; rows of a file.
+ARCHIVE_BYTES, FILE_ROWS = 4 << 20, 16
 #: Compressed bytes handed to zlib at once.
 CHUNK = 1 << 16
 
 
+EMPTY = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
+
+
 class WarcError(ValueError):
     pass
 
@@ -67,6 +73,12 @@ def record(kind: str, uri: str, payload: bytes, ident: str = "", refers_to: str
     return z.compress(data) + z.flush()
 
 
+def _ending(parts: list[bytes]) -> bytes:
+    """The members without the zero byte that they end with; an empty member ends those that have none."""
+    data = b"".join(parts)
+    return data[:-1] if not data[-1] else data + EMPTY[:-1]
+
+
 def chunks(data: bytes) -> Iterator[memoryview]:
     view = memoryview(data)
     for i in range(0, len(view), CHUNK):
@@ -86,7 +98,8 @@ def members(stream: Iterable[bytes]) -> Iterator[bytes]:
                 raise WarcError(f"damaged gzip member: {e}") from e
             rest = z.unused_data
             if z.eof:
-                yield b"".join(parts)
+                if any(parts):
+                    yield b"".join(parts)
                 z, parts = None, []
             else:
                 rest = b""
@@ -120,34 +133,45 @@ def read_records(stream: Iterable[bytes]) -> Iterator[Record]:
 
 
 def plan_records(df: DataFrame, key: str, payload: str, min_revisit: int = 0) -> DataFrame:
-    """key, url, payload, kind, refers_to: of equal payloads of at least min_revisit bytes the largest key is the response."""
+    """key, url, payload, kind, refers_to: of equal payloads of at least min_revisit bytes the largest key is the response.
+
+    Digests met more than once are written first, with their largest key. Where they are few
+    Spark broadcasts them and no payload moves; else the join deals both sides anew, and
+    a digest that many rows have can be split.
+    """
     rows = df.select(F.col(key).alias("id"), "url", F.coalesce(F.col(payload), F.lit("")).alias("payload")).withColumn("sum", F.sha1(F.col("payload").cast("binary")))
-    best = rows.groupBy("sum").agg(F.max("id").alias("top"))
-    revisit = (F.octet_length("payload") >= min_revisit) & (F.col("id") < F.col("top"))
-    return rows.join(best, "sum").select("id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("top")).alias("refers_to"))
+    met = rows.where(F.col("id").isNotNull() & (F.octet_length("payload") >= min_revisit)).groupBy("sum").agg(F.min("id").alias("low"), F.max("id").alias("top"))
+    met, _ = materialize(df.sparkSession, met.where("low < top").select("sum", "top"), "digests")
+    revisit = F.col("id") < F.col("top")
+    return rows.join(met, "sum", "left").select("id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("top")).alias("refers_to"))
 
 
-def write_archives(plan: DataFrame) -> DataFrame:
-    """Rows (content binary, n_records int), each a whole archive of gzip members of about ARCHIVE_BYTES."""
+def write_archives(plan: DataFrame, path: str) -> None:
+    """Write the records as .warc.gz files into the folder path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
         size = 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"content": pa.array([b"".join(parts)], pa.binary()), "n_records": pa.array([len(parts)], pa.int32())})
-
         for b in batches:
-            for i, url, payload, kind, ref in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                parts.append(record(kind, (url or "").replace("\r", "%0D").replace("\n", "%0A"), payload.encode(), "" if i is None else str(i), None if ref is None else str(ref)))
+            for i, url, payload, kind, ref in zip(*b.columns, strict=True):
+                i, url, ref = i.as_py(), url.as_py() or "", ref.as_py()
+                parts.append(record(kind.as_py(), url.replace("\r", "%0D").replace("\n", "%0A"), payload.as_py().encode(), "" if i is None else str(i), None if ref is None else str(ref)))
                 size += len(parts[-1])
                 if size >= ARCHIVE_BYTES:
-                    yield flush()
+                    yield pa.RecordBatch.from_pydict({"members": pa.array([_ending(parts)], pa.binary())})
                     parts, size = [], 0
         if parts:
-            yield flush()
+            yield pa.RecordBatch.from_pydict({"members": pa.array([_ending(parts)], pa.binary())})
 
-    return plan.mapInArrow(run, "content binary, n_records int")
+    spark = plan.sparkSession
+    # a cast changes no byte
+    plan.mapInArrow(run, "members binary").select(F.col("members").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_ROWS).text(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            fs.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(folder, f"{name[:-4]}.warc.gz"))
 
 
 def read_archives(archives: DataFrame, content: str = "content", with_block: bool = False) -> DataFrame:
@@ -158,7 +182,7 @@ def read_archives(archives: DataFrame, content: str = "content", with_block: boo
         for b in batches:
             for blob in b.column(0):
                 rows: list[tuple] = []
-                for r in read_records(chunks(blob.as_py() or b"")):
+                for r in read_records(chunks(memoryview(blob.as_buffer()) if blob.is_valid else b"")):
                     h = r.headers
                     http, payload = r.http()
                     size = len(payload) if r.kind == "response" else int(http.get("content-length", 0))
@@ -171,12 +195,14 @@ def read_archives(archives: DataFrame, content: str = "content", with_block: boo
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the .warc.gz files under path, one file to a task."""
-    return read_archives(spark.read.format("binaryFile").load(path))
+    """Records of the .warc.gz files under path; a file is held whole by the task that reads it."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    return read_archives(files)
 
 
 def round_trip(spark: SparkSession, df: DataFrame, key: str = "page_id", payload: str = "html", min_revisit: int = 0) -> DataFrame:
     """Write a record for every row into archives in the shared folder and read them back."""
-    archives, _ = materialize(spark, write_archives(plan_records(df, key, payload, min_revisit)), "warc")
-    got = read_archives(archives)
+    path = new_path(spark, "warc")
+    write_archives(plan_records(df, key, payload, min_revisit), path)
+    got = read_warc(spark, path)
     return got.select(F.col("id").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to")

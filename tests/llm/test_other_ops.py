@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from sparkdom.llm import ann, queries, url_filter, warc  # noqa: E402
+from sparkdom.llm import ann, common, queries, url_filter, warc  # noqa: E402
 
 PAGES = "page_id long, url string, html string"
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -141,6 +142,45 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, df.where("false")).count() == 0
 
 
+def test_warc_files(spark, tmp_path, monkeypatch):
+    """Files that gzip reads too; a record of over 16 MB does not end with a zero byte."""
+    monkeypatch.setattr(warc, "FILE_ROWS", 2)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1)
+    rows = [(1, "a", "x" * (17 << 20)), (2, "b", "y"), (3, "c", "y" * 1000), (4, "d", None), (5, "e", "z")]
+    path = str(tmp_path / "w")
+    warc.write_archives(warc.plan_records(spark.createDataFrame(rows, PAGES).coalesce(1), "page_id", "html"), path)
+    files = sorted((tmp_path / "w").glob("*.warc.gz"))
+    assert len(files) == 3 and not list((tmp_path / "w").glob("part*.txt"))
+    assert sum(gzip.decompress(f.read_bytes()).count(b"WARC/1.1") for f in files) == 5
+    assert sum(len(list(warc.read_records([f.read_bytes()]))) for f in files) == 5
+    got = warc.read_warc(spark, path).orderBy("id").collect()
+    assert [(r.id, r.payload_bytes) for r in got] == [(1, 17 << 20), (2, 1), (3, 1000), (4, 0), (5, 1)]
+
+
+def test_hot_digest_is_split(spark):
+    """The join on digests has no aggregate right above its exchange: Spark may split a skewed side."""
+    df = spark.range(50).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") < 35, "same").otherwise(F.col("id").cast("string")).alias("html"))
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k, None) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        plan = warc.plan_records(df, "page_id", "html")
+        assert "Aggregate" not in plan._jdf.queryExecution().sparkPlan().toString()
+        assert plan.where("kind = 'revisit' and refers_to = 34").count() == 34
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_tables_can_be_deleted(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], PAGES)
+    out = warc.round_trip(spark, df)
+    assert out.count() == 2 and common.leftovers(spark)
+    common.clean(spark)
+    assert not common.leftovers(spark)
+
+
 def test_warc_damage(spark, tmp_path):
     good = warc.record("response", "http://a/", b"hello", "1") + warc.record("revisit", "http://b/", b"hello", "2", "1")
     assert [(r.kind, r.http()[1]) for r in warc.read_records([good[k : k + 7] for k in range(0, len(good), 7)])] == [("response", b"hello"), ("revisit", b"")]
