@@ -1,8 +1,14 @@
 """Toxicity classifier with counterfactual regularisation.
 
 A logistic model over hashed words and word beginnings, with an L1 penalty. Labelled
-texts that name a group are rewritten with another group's term in its place, and the
-squared change of the score is penalised, so that the terms themselves carry no weight.
+texts are split into sentences, and sentences are rewritten: one that names a group names
+another in its place; one that names none is given a mention of one group, and of
+another. The squared change of the score between the versions is penalised, so that the
+terms themselves carry no weight and a neutral mention does not move a score. `gaps`
+reports what is left of that.
+
+The sample is bounded (`bound` labelled keys), and so are what a text gives (SENTENCES)
+and the features (MOST_FEATURES, those that tell most about the label).
 
 Defined cases: a null text is an empty one and gets the score of the intercept; without
 labelled rows, or with one class alone, every score is 0.
@@ -24,6 +30,8 @@ from sparkdom.llm.common import tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS, MEMO = 1 << 22, 1 << 17
+#: Where sentences end; sentences of a text that are given a mention; most features.
+STOP, SENTENCES, MOST_FEATURES = re.compile(r"[.!?\n\u2026\u3002]+"), 4, 30_000
 #: Lengths of word beginnings that are features besides the whole word.
 PREFIXES = (4, 5, 6, 7)
 #: Terms that name groups; each is swapped for another of its list.
@@ -54,18 +62,36 @@ def counts(words: set[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.array([f for w in words for f in of_word(w)], np.int32), return_counts=True)
 
 
-def change(words: set[str], swap: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and the change of their counts as group terms are swapped."""
-    out = words & swap.keys()
-    if not out:
-        return np.array([], np.int32), np.array([], np.int64)
-    ids, n = counts(words)
-    new, m = counts((words - out) | {swap[w] for w in out})
+def change(before: set[str], after: set[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and the change of their counts from one version of a sentence to the other."""
+    ids, n = counts(before - after)
+    new, m = counts(after - before)
     every, at = np.unique(np.concatenate([ids, new]), return_inverse=True)
     d = np.bincount(at, np.concatenate([-n, m]), len(every)).astype(np.int64)
     return every[d != 0], d[d != 0]
 
 
+def counterfactuals(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY) -> list[tuple[set[str], set[str]]]:
+    """Words of a text's sentences in two versions that should score alike.
+
+    Every sentence that names groups, with the next term of each list; and of the others the
+    SENTENCES with the least hash, with a mention of a group against none, and against
+    another of its list.
+    """
+    swap, out, plain = swaps(groups), [], set()
+    for sentence in STOP.split(text):
+        words = words_of(sentence)
+        if named := words & swap.keys():
+            out.append((words, (words - named) | {swap[w] for w in named}))
+        elif words:
+            plain.add((zlib.crc32(" ".join(sorted(words)).encode()), frozenset(words)))
+    for h, words in sorted(plain, key=lambda x: (x[0], sorted(x[1])))[:SENTENCES] if groups else ():
+        group = groups[h % len(groups)]
+        one = group[h // len(groups) % len(group)]
+        out += [(set(words), words | {one}), (words | {one}, words | {swap[one]})]
+    return [(a, b) for a, b in out if a != b]
+
+
 class Rows:
     """A sparse matrix by rows, over chosen buckets."""
 
@@ -87,7 +113,7 @@ class Rows:
         return np.bincount(self.col, self.val * r[self.row], self.shape[1])
 
 
-def select(ids: list[np.ndarray], y: np.ndarray, least: int = 3, z: float = 4.0, most: int = 30_000) -> np.ndarray:
+def select(ids: list[np.ndarray], y: np.ndarray, least: int = 3, z: float = 4.0, most: int = MOST_FEATURES) -> np.ndarray:
     """Buckets whose share among toxic and other texts differs by z standard errors."""
     every, n = np.unique(np.concatenate(ids), return_counts=True)
     toxic, times = np.unique(np.concatenate([i for i, t in zip(ids, y, strict=True) if t]), return_counts=True)
@@ -100,30 +126,35 @@ def select(ids: list[np.ndarray], y: np.ndarray, least: int = 3, z: float = 4.0,
     return np.sort(every[keep[np.argsort(-score[keep], kind="stable")[:most]]])
 
 
-def fit(x: Rows, y: np.ndarray, pairs: Rows, l1: float = 5e-5, fairness: float = 5.0, steps: int = 1000) -> tuple[float, np.ndarray]:
-    """Proximal gradient with momentum: log loss + fairness * mean squared score change + l1 * |w|."""
+def _steepest(x: Rows, pairs: Rows, fairness: float) -> float:
+    """The largest curvature that the smooth part of the objective can have, by power iteration."""
+    n, m = x.shape[0], max(pairs.shape[0], 1)
+    b, w, top = 1.0, np.ones(x.shape[1]), 1.0
+    for _ in range(40):
+        r = (b + x.dot(w)) / (4 * n)
+        b, w = r.sum(), x.back(r) + (pairs.back(2 * fairness / m * pairs.dot(w)) if len(pairs.val) else 0)
+        top = float(np.sqrt(b * b + w @ w)) or 1.0
+        b, w = b / top, w / top
+    return top
+
+
+def fit(x: Rows, y: np.ndarray, pairs: Rows, l1: float = 5e-5, fairness: float = 5.0, steps: int = 2000) -> tuple[float, np.ndarray]:
+    """Least mean log loss + fairness * mean squared score change + l1 * |w|, by proximal gradient with momentum."""
     n, m = x.shape[0], max(pairs.shape[0], 1)
     share = y.mean()
     b, w = float(np.log(share / (1 - share))), np.zeros(x.shape[1])
-    pb, pw, t = b, w.copy(), 1.0
-    bound = 0.25 * (np.bincount(x.row, x.val**2, n).mean() + 1) * 4 + 2 * fairness * (np.bincount(pairs.row, pairs.val**2, m).max(initial=0))
-    step = 1 / max(bound, 1.0)
-    objective = np.inf
+    pb, pw, t = b, w, 1.0
+    step = 1 / (1.05 * _steepest(x, pairs, fairness))
     for _ in range(steps):
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         yb, yw = b + (t - 1) / t2 * (b - pb), w + (t - 1) / t2 * (w - pw)
-        z = np.clip(yb + x.dot(yw), -40, 40)
-        moved = pairs.dot(yw) if len(pairs.val) else np.zeros(m)
-        value = float(np.mean(np.logaddexp(0, z) - y * z) + fairness * np.mean(moved**2))
-        r = (1 / (1 + np.exp(-z)) - y) / n
-        g = x.back(r) + (pairs.back(2 * fairness * moved / m) if len(pairs.val) else 0)
-        if value > objective + 1.0:  # the step was too long
-            step, t2 = step / 2, 1.0
-        objective = min(value, objective)
-        pb, pw, t = b, w, t2
-        b = yb - step * r.sum() * 4
-        w = yw - step * g * 4
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1 * 4, 0)
+        r = (1 / (1 + np.exp(-np.clip(yb + x.dot(yw), -40, 40))) - y) / n
+        g = x.back(r) + (pairs.back(2 * fairness / m * pairs.dot(yw)) if len(pairs.val) else 0)
+        pb, pw = b, w
+        b, w = yb - step * r.sum(), yw - step * g
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        # momentum that points uphill starts anew
+        t = 1.0 if (yb - b) * (b - pb) + (yw - w) @ (w - pw) > 0 else t2
     return b, w
 
 
@@ -145,27 +176,39 @@ class Model:
 
 def train(sample: DataFrame, text: str = "text", groups: tuple[tuple[str, ...], ...] = IDENTITY, fairness: float = 5.0) -> Model | None:
     """Fit on every row of sample (column y); its features, bounded by the sample, come to the driver."""
-    swap = swaps(groups)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [words_of(t.as_py() or "") for t in b.column(1)]
-            got, moved = [counts(w) for w in words], [change(w, swap) for w in words]
-            lists = [pa.array([g[k] for g in c], pa.list_(pa.int32())) for c in (got, moved) for k in (0, 1)]
+            texts = [t.as_py() or "" for t in b.column(1)]
+            got = [counts(words_of(t)) for t in texts]
+            moved = [[change(*pair) for pair in counterfactuals(t, groups)] for t in texts]
+            lists = [pa.array([g[k] for g in got], pa.list_(pa.int32())) for k in (0, 1)]
+            lists += [pa.array([[c[k] for c in cs] for cs in moved], pa.list_(pa.list_(pa.int32()))) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["y", "ids", "n", "moved", "by"])
 
-    rows = sample.select("y", text).mapInArrow(tidy(run), "y int, ids array<int>, n array<int>, moved array<int>, by array<int>").toArrow()
+    rows = sample.select("y", text).mapInArrow(tidy(run), "y int, ids array<int>, n array<int>, moved array<array<int>>, by array<array<int>>").toArrow()
     y = rows.column("y").to_numpy().astype(np.float64)
     if not 0 < y.sum() < len(y):
         return None
-    ids, n, moved, by = ([v.values.to_numpy() for v in rows.column(c).combine_chunks()] for c in ("ids", "n", "moved", "by"))
-    terms = np.array([f for t in swap for f in of_word(t)], np.int32)
+    ids, n = ([v.values.to_numpy() for v in rows.column(c).combine_chunks()] for c in ("ids", "n"))
+    moved, by = ([v.values.to_numpy() for v in rows.column(c).combine_chunks().flatten()] for c in ("moved", "by"))
+    terms = np.array([f for g in groups for t in g for f in of_word(t)], np.int32)
     chosen = np.union1d(select(ids, y), terms)
-    some = [k for k, m in enumerate(moved) if len(m)]
-    b, w = fit(Rows(ids, n, chosen), y, Rows([moved[k] for k in some], [by[k] for k in some], chosen), fairness=fairness)
+    b, w = fit(Rows(ids, n, chosen), y, Rows(moved, by, chosen), fairness=fairness)
     return Model(b, {int(f): float(v) for f, v in zip(chosen, w, strict=True) if v})
 
 
+def gaps(model: Model, sentences: list[str], groups: tuple[tuple[str, ...], ...] = IDENTITY, threshold: float = 0.7) -> list[tuple[tuple[str, ...], float, float]]:
+    """For each list of terms: the largest mean change of the score by a mention, between any two of its terms or against none, and the share of mentions at threshold or above."""
+    out = []
+    of = lambda t: 1 / (1 + np.exp(-np.clip(model.raw(t), -40, 40)))
+    bare = np.array([of(s) for s in sentences])
+    for g in groups:
+        named = np.array([[of(f"{s} {t}") for s in sentences] for t in g])
+        means = np.array([bare.mean(), *named.mean(1)])
+        out.append((g, float(means.max() - means.min()), float((named >= threshold).mean())))
+    return out
+
+
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", threshold: float = 0.7, keep: bool = False) -> DataFrame:
     """key, score, predicted of every row; with keep, all columns of docs and `predicted` under a name of its own."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -139,7 +139,51 @@ def test_counterfactual_penalty(spark):
     one = spark.createDataFrame([(i, f"{'muslim' if y else 'christian'} {'walk' if i % 2 else 'stone'} light", y) for i in range(200) for y in [i % 4 < 2]], "doc_id long, text string, y boolean").selectExpr("doc_id", "text", "int(y) y")
     skewed, even = toxicity.train(one, fairness=0.0), toxicity.train(one, fairness=50.0)
     assert gap(even, neutral) < 0.25 * gap(skewed, neutral)
-    assert fair.raw("you rascal") > fair.raw("you river") and plain is not None
+    assert fair.raw("you rascal") > fair.raw("you river")
+    sentences = ["the river walk", "a stone to light", "in the green"]
+    before, after = (max(g for _, g, _ in toxicity.gaps(m, sentences, (("muslim", "christian", "jewish"),))) for m in (plain, fair))
+    assert before > 0.2 > 4 * after
+
+
+def brute_objective(texts, y, pairs, b, w, l1, fairness):
+    """Text by text, from the words alone."""
+    raw = lambda words: sum(w.get(f, 0.0) for x in words for f in toxicity.of_word(x))
+    loss = sum(np.log1p(np.exp(z)) - t * z for text, t in zip(texts, y, strict=True) for z in [b + raw(toxicity.words_of(text))])
+    change = sum((raw(after) - raw(before)) ** 2 for before, after in pairs)
+    return loss / len(texts) + fairness * change / max(len(pairs), 1) + l1 * sum(map(abs, w.values()))
+
+
+@pytest.mark.parametrize("fairness", [0.0, 5.0])
+def test_toxicity_objective(fairness):
+    """What is fitted is the least of the objective as its definition reads."""
+    rng = random.Random(5)
+    pool = ["stone", "walk", "green", "rascal", "muslim", "christian", "women", "men"]
+    texts = [". ".join(" ".join(rng.choices(pool, k=4)) for _ in range(2)) for _ in range(120)]
+    y = np.array([float(("rascal" in t or "muslim" in t) and rng.random() < 0.9) for t in texts])
+    pairs = [p for t in texts for p in toxicity.counterfactuals(t)]
+    got = [toxicity.counts(toxicity.words_of(t)) for t in texts]
+    moved = [toxicity.change(*p) for p in pairs]
+    chosen = np.unique(np.concatenate([g[0] for g in got] + [m[0] for m in moved]))
+    b, w = toxicity.fit(toxicity.Rows([g[0] for g in got], [g[1] for g in got], chosen), y, toxicity.Rows([m[0] for m in moved], [m[1] for m in moved], chosen), l1=0.01, fairness=fairness)
+    at = lambda b, w: brute_objective(texts, y, pairs, b, dict(zip(chosen.tolist(), w.tolist(), strict=True)), 0.01, fairness)
+    least = at(b, w)
+    for k in range(-1, len(chosen)):
+        for d in (-0.02, 0.02):
+            other = w.copy()
+            if k >= 0:
+                other[k] += d
+            assert at(b + d * (k < 0), other) >= least - 1e-6
+    words = dict(zip(chosen.tolist(), w.tolist(), strict=True))
+    weight = lambda x: sum(words.get(f, 0.0) for f in toxicity.of_word(x))
+    assert (abs(weight("muslim") - weight("christian")) < 0.05) == (fairness > 0)
+
+
+def test_counterfactuals_are_sentences():
+    pairs = toxicity.counterfactuals("The gay man walks. Green stone! A river")
+    assert ({"the", "gay", "man", "walks"}, {"the", "lesbian", toxicity.swaps()["man"], "walks"}) in pairs
+    plain = [p for p in pairs if p[0] in ({"green", "stone"}, {"a", "river"})]
+    assert len(plain) == 2 and all(len(b - a) == 1 and (b - a) <= toxicity.swaps().keys() for a, b in plain)
+    assert len(pairs) == 5 and toxicity.counterfactuals("") == []
 
 
 def test_ppm(spark, odd, none):
