@@ -201,41 +201,66 @@ def test_ppm(spark, odd, none):
     assert ppm.identify(none, F.lit(True)).count() == 0
 
 
-def test_ppm_probabilities():
-    """Every context's probabilities sum to one over all bytes, and match a plain walk down the orders."""
-    counts = defaultdict(int)
-    text = b"abracadabra abracadabra banana"
-    for g in ppm._grams(text).tolist():
-        counts[g] += 1
-    trees = ppm.FrozenTrees([("x", g, n) for g, n in counts.items()])
-    a = trees.size
-    p = np.exp2(-trees.cost.reshape(-1, a).astype(float))
-    unseen = 256 - (a - 1)
-    assert np.allclose(p[:, 1:].sum(1) + unseen * p[:, 0], 1, atol=1e-4)
-
-    def plain(history: bytes, c: int) -> float:
-        excluded, prob = set(), 1.0
-        for k in (3, 2, 1, 0):
-            seen = defaultdict(int)
-            for g, n in counts.items():
-                b = g.to_bytes(4, "big")
-                if b[3 - k : 3] == history[3 - k :]:
-                    seen[b[3]] += n
-            if k == 3 and sum(seen.values()) < ppm.LEAST:
-                continue
-            seen = {s: n for s, n in seen.items() if s not in excluded}
-            total, kinds = sum(seen.values()), len(seen)
-            if not total:
+def plain_ppm(text: bytes):
+    """A walk down the orders, from what was seen after each context."""
+    seen = defaultdict(lambda: defaultdict(int))
+    padded = ppm.START + text
+    for k in range(3, len(padded)):
+        for order in range(4):
+            seen[padded[k - order : k]][padded[k]] += 1
+
+    def prob(history: bytes, c: int) -> float:
+        excluded, p = set(), 1.0
+        for order in (3, 2, 1, 0):
+            here = {s: n for s, n in seen.get(history[3 - order :], {}).items() if s not in excluded}
+            if not here:
                 continue
-            if c in seen:
-                return prob * seen[c] / (total + kinds)
-            prob *= kinds / (total + kinds)
-            excluded |= seen.keys()
-        return prob / (256 - len(excluded))
-
-    for probe in (b"abracadabra", b"banana!", b"zz", b"a"):
-        want = sum(-np.log2(plain((b"\n\n\n" + probe)[k : k + 3], probe[k])) for k in range(len(probe)))
-        assert trees.bits([probe])[0, 0] == pytest.approx(want, rel=1e-4)
+            total, kinds = sum(here.values()), len(here)
+            if c in here:
+                return p * here[c] / (total + kinds)
+            p *= kinds / (total + kinds)
+            excluded |= here.keys()
+        return p / (256 - len(excluded))
+
+    return prob
+
+
+def tree_of(text: bytes) -> ppm.FrozenTree:
+    grams, counts = np.unique(ppm._grams(text), return_counts=True)
+    return ppm.FrozenTree(grams, counts)
+
+
+def test_ppm_probabilities(monkeypatch):
+    """Every context's probabilities sum to one over all bytes; code lengths match a plain walk, whole and in parts."""
+    text = b"abracadabra abracadabra banana"
+    tree, plain = tree_of(text), plain_ppm(text)
+    for history in (b"abr", b"xbr", b"xyr", b"xyz", b"\n\n\n"):
+        grams = np.array([int.from_bytes(history + bytes([c]), "big") for c in range(256)], np.uint32)
+        assert np.exp2(-tree.cost(grams)).sum() == pytest.approx(1)
+    want = lambda p: sum(-np.log2(plain((ppm.START + p)[k : k + 3], p[k])) for k in range(len(p)))
+    probes = [b"abracadabra", b"", b"banana!", b"zz", b"a", bytes(range(256)), b"abra\xff" * 9]
+    for size in (4 << 20, 5):
+        monkeypatch.setattr(ppm, "SLICE", size)
+        got = ppm.code_lengths([tree, tree_of(b"")], probes)
+        assert got[:, 0] == pytest.approx([want(p) for p in probes])
+        assert got[:, 1] == pytest.approx([8 * len(p) for p in probes])
+
+
+def test_many_languages(spark):
+    """200 made-up languages, in one group and in many: the same predictions, equal to a plain walk."""
+    rng = random.Random(9)
+    text = lambda k: " ".join("".join(rng.choices("aeiou", k=2) + rng.choices("bcdfghjklmnpqrstvwxyz"[k % 17 :][:5], k=2) + [chr(200 + k)]) for _ in range(30))
+    docs = [(i, text(i % 200), f"l{i % 200:03}", None, None) for i in range(800)]
+    df = spark.createDataFrame(docs, DOCS)
+    whole = sorted(map(tuple, ppm.identify(df, F.col("doc_id") < 600).collect()))
+    parts = sorted(map(tuple, ppm.identify(df, F.col("doc_id") < 600, group_bytes=400_000).collect()))
+    assert [r[:2] for r in whole] == [r[:2] for r in parts] and [r[2] for r in whole] == pytest.approx([r[2] for r in parts])
+    assert np.mean([r[1] == f"l{r[0] % 200:03}" for r in whole if r[0] >= 600]) > 0.98
+    trained = {k: b"".join(t.encode() for _, t, n, *_ in docs[:600] if n == f"l{k:03}") for k in (3, 150)}
+    probe = docs[700][1].encode()
+    for raw in trained.values():
+        plain = plain_ppm(raw)
+        assert ppm.code_lengths([tree_of(raw)], [probe])[0, 0] == pytest.approx(sum(-np.log2(plain((ppm.START + probe)[k : k + 3], probe[k])) for k in range(len(probe))))
 
 
 # --- leaks
