@@ -33,22 +33,39 @@ def urls(spark):
 
 def test_url_rules(spark, urls):
     want = sorted((str(i), str(r), v) for i, _, r, v in URLS)
-    for bound in (1 << 20, 0):  # broadcast, and joined
-        rows = url_filter.filter_urls(urls, RULES, "page_id", max_broadcast=bound).collect()
+    for rules in (RULES, [("com", "/de/", "other"), *RULES]):  # the later of two counts
+        rows = url_filter.filter_urls(urls, rules, "page_id").collect()
         assert sorted((str(r.page_id), str(r.rule), r.verdict) for r in rows) == want
     assert {r.verdict for r in url_filter.filter_urls(urls, [], "page_id", default="block").collect()} == {"block"}
     assert url_filter.filter_urls(urls.where("false"), RULES, "page_id").count() == 0
 
 
-def test_digest_array():
-    words = {f"w{i}".encode(): i for i in range(1000)}
-    index = url_filter.DigestArray.mapped(url_filter.DigestArray.pack(words))
-    assert index.probe([b"w5", b"none", b"w999"]).tolist() == [5, -1, 999]
-    # every digest the same: the stored strings decide
+def test_many_rules_and_long_urls(spark):
+    """A list of any size is one mapped file; no probe for what no rule could be."""
+    rules = [(f"h{i}.net", f"/p{i % 7}/", "block" if i % 2 else "allow") for i in range(200_000)]
+    long_host, long_path = "a." * 50_000 + "h5.net", "/p5/" + "x" * 500_000
+    df = spark.createDataFrame([(1, f"http://{long_host}{long_path}", None), (2, "http://h199999.net/p3/", None), (3, "http://h6.net/p0/", None), (4, "http://x.h8.net/p1/a", None)], PAGES)
+    found = url_filter.filter_urls(df, iter(rules), "page_id", default="none")
+    assert "Join" not in found._jdf.queryExecution().sparkPlan().toString()
+    rows = {r.page_id: (r.rule, r.verdict) for r in found.collect()}
+    assert rows == {1: ("h5.net/p5/", "block"), 2: (None, "none") if 199_999 % 7 != 3 else ("h199999.net/p3/", "block"), 3: (None, "none"), 4: ("h8.net/p1/", "allow")}
+    assert len(url_filter._candidates(long_host, long_path, [1, 4], 2)) == 4
+
+
+def test_digest_array(tmp_path):
+    words = [f"w{i}".encode() for i in range(1000)]
+
+    def index(strings, values, *digest):
+        (tmp_path / "a").write_bytes(b"".join(url_filter.DigestArray.pack(strings, values, *digest)))
+        return url_filter.DigestArray.mapped(str(tmp_path / "a"))
+
     same = lambda s: 7
-    index = url_filter.DigestArray.mapped(url_filter.DigestArray.pack(words, same))
-    assert index.probe([b"w5", b"none", b"w999"], same).tolist() == [5, -1, 999]
-    assert url_filter.DigestArray.mapped(url_filter.DigestArray.pack({})).probe([b"a"]).tolist() == [-1]
+    for digest in ((), (same,)):  # every digest the same: the stored strings decide
+        array = index([*words, b"w5"], [*range(1000), 77], *digest)
+        assert len(array.keys) == 1000
+        at = array.probe([b"w5", b"none", b"w999"], *digest)
+        assert at[1] == -1 and [array.string(i) for i in at[[0, 2]]] == [b"w5", b"w999"] and array.values[at[[0, 2]]].tolist() == [77, 999]
+    assert index([], []).probe([b"a"]).tolist() == [-1]
 
 
 def exact(rows, k, asks):
