@@ -199,8 +199,8 @@ class BacktrackingBPE:
             yield out if k + SLICE < len(ids) else out[:-1]
 
 
-def encode_decode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded) for every row; other columns are left out.
+def encode_decode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded text) for every row; other columns are left out.
 
     vocabulary is a file that the driver can read; its bytes are broadcast, under a fixed bound.
     """
@@ -210,7 +210,8 @@ def encode_decode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
         raise ValueError(f"vocabulary file of {len(data)} bytes; at most {MAX_BROADCAST_BYTES} are broadcast")
     sent = df.sparkSession.sparkContext.broadcast(data)
     rows = df.select(F.col(key), F.col(text))
-    schema = f"{key} {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    schema = f"{key} {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = BacktrackingBPE(json.loads(sent.value))  # gone with its task: kept workers hold no tables for other stages
@@ -219,15 +220,16 @@ def encode_decode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
             for t in b.column(1):
                 packed = bpe.encode(t.as_py() or "")
                 ids, sha = np.frombuffer(packed, "<u4"), hashlib.sha256()
-                for part in (decoded := list(bpe.decode(ids)) if with_ids else bpe.decode(ids)):
+                for part in (decoded := list(bpe.decode(ids)) if with_text else bpe.decode(ids)):
                     sha.update(part)
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(packed).hexdigest())
                 text_sha.append(sha.hexdigest())
                 if with_ids:
                     all_ids.append(ids.astype(np.int32))
+                if with_text:
                     all_text.append(b"".join(decoded).decode())
-            more = [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())] if with_ids else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha), *more], [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 4 + len(more)])
+            more = [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids + [pa.array(all_text, pa.string())] * with_text
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha), *more], names)
 
     return rows.mapInArrow(tidy(run), schema)

@@ -66,6 +66,15 @@ def clean(spark: SparkSession) -> None:
         drop_table(spark, path)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores put before them until none is taken; case does not tell columns apart."""
+    lower = {c.lower() for c in taken}
+    mark = ""
+    while any(f"{mark}{w}".lower() in lower for w in wanted):
+        mark += "_"
+    return [f"{mark}{w}" for w in wanted]
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32(doc_id as text) mod parts; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -156,9 +156,12 @@ def classes(fps: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFra
     distinct, distinct_path = materialize(spark, fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = components(spark, linked(distinct), shrunk=True)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written before they are joined: both sides are then dealt anew, and a root that many share can be split
+    rooted, rooted_path = materialize(spark, rooted, "rooted")
+    smallest, smallest_path = materialize(spark, rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     named, _ = materialize(spark, rooted.join(smallest, "root").select("fp", "root", "component_id"), "named")
-    drop_table(spark, distinct_path)
+    for path in (distinct_path, rooted_path, smallest_path):
+        drop_table(spark, path)
     return fps.join(named, "fp")
 
 
@@ -180,5 +183,5 @@ def one_of_each(df: DataFrame, rows: DataFrame, key: str, text: str) -> DataFram
     kept, _ = materialize(df.sparkSession, first.select(F.col("one.id").alias("_id"), F.col("one.text_hash").alias("_hash"), F.col("one.n").alias("_n")), "kept")
     rows = df.join(kept, df[key].eqNullSafe(kept["_id"]) & (F.xxhash64(df[text]) == kept["_hash"]))
     own = [df[c] for c in df.columns]
-    once, more = rows.where("_n = 1").select(*own), rows.where("_n > 1").select(*own)
+    once, more = rows.where(kept["_n"] == 1).select(*own), rows.where(kept["_n"] > 1).select(*own)
     return once.unionByName(more.dropDuplicates([key, text]))

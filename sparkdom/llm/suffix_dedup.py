@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkdom.llm.common import drop_table, materialize, release, tidy
+from sparkdom.llm.common import drop_table, free_names, materialize, release, tidy
 
 GRAM, BLOCK = 48, 12
 #: Bytes hashed at once; places in it take the low bits of a packed number.
@@ -289,31 +289,32 @@ def remove(docs: DataFrame, text: str = "text", width: int = 200, keep_text: boo
     whole = F.coalesce(F.col(text), F.lit(""))
     others = [c for c in docs.columns if c != text] if keep_text else [key]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    held = docs.select(F.xxhash64(whole).alias("_t1"), F.xxhash64(F.lit(1), whole).alias("_t2"), *[F.col(c) for c in others], F.col(text).alias("_text"))
+    t1, t2, body, blob, found = free_names(docs.columns, "t1", "t2", "body", "blob", "spans")
+    held = docs.select(F.xxhash64(whole).alias(t1), F.xxhash64(F.lit(1), whole).alias(t2), *[docs[f"`{c}`"] for c in others], F.col(text).alias(body))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
         for b in batches:
             blobs = [z.compress(t.as_py().encode()) if t.is_valid else None for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(blobs, pa.binary())], [*b.schema.names[:-1], "_blob"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(blobs, pa.binary())], [*b.schema.names[:-1], blob])
 
     kept_fields = ", ".join(f"`{c}` {fields[c]}" for c in others)
-    packed = held.mapInArrow(tidy(pack), f"_t1 long, _t2 long, {kept_fields}, _blob binary")
-    lists = lists.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("spans").alias("_spans"))
-    rows = packed.join(lists, ["_t1", "_t2"], "left").select(*[f"`{c}`" for c in others], "_blob", "_spans")
+    packed = held.mapInArrow(tidy(pack), f"{t1} long, {t2} long, {kept_fields}, {blob} binary")
+    lists = lists.select(F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("spans").alias(found))
+    rows = packed.join(lists, [t1, t2], "left").select(*[f"`{c}`" for c in others], blob, found)
     k = len(others)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for b in batches:
             left, sizes, gone, counts, shas = [], [], [], [], []
-            for blob, spans in zip(b.column(k), b.column(k + 1), strict=True):
-                raw = z.decompress(blob.as_py()) if blob.is_valid else b""
+            for packed_text, spans in zip(b.column(k), b.column(k + 1), strict=True):
+                raw = z.decompress(packed_text.as_py()) if packed_text.is_valid else b""
                 stretches = merge([(x["s"], x["e"]) for x in spans.as_py()]) if spans.is_valid else []
                 edges = [0, *(p for s in stretches for p in s), len(raw)]
                 kept = b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
                 if keep_text:
-                    left.append(kept.decode("utf-8", "ignore") if blob.is_valid else None)
+                    left.append(kept.decode("utf-8", "ignore") if packed_text.is_valid else None)
                     continue
                 sizes.append(len(raw))
                 gone.append(len(raw) - len(kept))

@@ -25,7 +25,7 @@ ODD = [(None, None, None, None, None), (1, None, "en", "a", None), (2, "", None,
 @pytest.fixture(scope="module")
 def odd(spark):
     # extra columns, one of them with a name that operators use inside
-    return spark.createDataFrame(ODD, DOCS).withColumn("score", F.lit("mine")).withColumn("fp", F.lit(1)).withColumn("y", F.lit(9))
+    return spark.createDataFrame(ODD, DOCS).withColumn("score", F.lit("mine")).withColumn("fp", F.lit(1)).withColumn("y", F.lit(9)).withColumns({c: F.lit(c) for c in ("_n", "_id", "_hash", "_T1", "_t2", "_blob", "spans", "blob", "t1", "root", "id", "bits")})
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +57,7 @@ def test_bpe_is_the_library(spark, vocabulary, odd, none):
         got = np.frombuffer(ours.encode(t), "<u4")
         assert got.tolist() == want, t
         assert b"".join(ours.decode(got)).decode() == theirs.decode(want, skip_special_tokens=False)
-    rows = bpe.encode_decode(odd, vocabulary, with_ids=True).collect()
+    rows = bpe.encode_decode(odd, vocabulary, with_ids=True, with_text=True).collect()
     assert len(rows) == len(ODD)
     for r, (i, t, *_) in zip(sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)), sorted(ODD, key=lambda d: (d[0] is None, d[0] or 0, len(d[1] or ""))), strict=True):
         ids = theirs.encode(t or "", add_special_tokens=False).ids
