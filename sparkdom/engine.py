@@ -46,7 +46,7 @@ class Engine:
     #: the older name of events()
     stream = events
 
-    def query(self, pages: DataFrame, selector: str, scope: DataFrame | None = None) -> DataFrame:
+    def query(self, pages: DataFrame, selector: str, scope: DataFrame | str | None = None) -> DataFrame:
         return S.query(pages, selector, self.key, scope)
 
     def query_first(self, pages: DataFrame, selector: str) -> DataFrame:
@@ -55,6 +55,9 @@ class Engine:
     def matches(self, node_table: DataFrame, selector: str, name: str = "matched") -> DataFrame:
         return S.flag(node_table, selector, self.key, name)
 
+    def query_text(self, pages: DataFrame, selector: str) -> DataFrame:
+        return S.query_text(pages, selector, self.key)
+
     def with_text(self, rows: DataFrame, pages: DataFrame) -> DataFrame:
         return S.with_text(rows, pages, self.key)
 

@@ -18,10 +18,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkdom import schema
 from sparkdom.html.dom import HierarchyError, Node
-from sparkdom.html.encode import encode
 from sparkdom.html.parse import parse
+from sparkdom.operators.parse import FLUSH_CHARS, PageBatch
 from sparkdom.plans.css import parse_selector
 from sparkdom.plans.matcher import first_n
+from sparkdom.plans.relational import flag_inside
 
 
 def decode(rows: list[dict]) -> Node:
@@ -51,8 +52,16 @@ def change(pages: DataFrame, selector: str, act: Callable[[Node, Node], None], k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(out)
+        made, problems, size = PageBatch(pa.schema(list(arrow)[:-1])), [], 0
+
+        def flush() -> pa.RecordBatch:
+            b = made.arrow()
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(problems, pa.string())], schema=arrow)
+
         for b in batches:
-            for page in b.to_pylist():
+            names = b.schema.names
+            for k in range(b.num_rows):  # one page at a time as Python values
+                page = dict(zip(names, (c[k].as_py() for c in b.columns), strict=True))
                 root = decode(page["nodes"])
                 error = None
                 for node in first_n(root, parsed, None):
@@ -62,11 +71,14 @@ def change(pages: DataFrame, selector: str, act: Callable[[Node, Node], None], k
                         act(root, node)
                     except HierarchyError as e:
                         error = str(e)
-                rows, texts, html = encode(root)
-                for r in rows:
-                    r["attrs"] = None if r["attrs"] is None else list(r["attrs"].items())
-                page |= {"nodes": rows, "texts": texts, "html": html, "mutation_error": error}
-                yield pa.RecordBatch.from_pylist([{f.name: page[f.name] for f in arrow}], schema=arrow)
+                made.put(page[key], root, page["encoding"], page["quirks"], page["errors"])
+                problems.append(error)
+                size += sum(map(len, made.texts[-1])) + len(made.html[-1] or "") + 1
+                if size >= FLUSH_CHARS:
+                    yield flush()
+                    made, problems, size = PageBatch(made.schema), [], 0
+        if problems:
+            yield flush()
 
     return pages.drop("mutation_error").mapInArrow(run, out)
 
@@ -138,11 +150,15 @@ def clone(pages: DataFrame, selector: str, deep: bool = True, key: str = "page_i
     return change(pages, selector, act, key)
 
 
-def prune(node_table: DataFrame, marked: DataFrame, key: str = "page_id") -> DataFrame:
-    """The node table without the subtrees of marked nodes (key, tree_id, node_id, last_id); numbers stay as they were.
+def prune(node_table: DataFrame, marked: DataFrame | str, key: str = "page_id") -> DataFrame:
+    """The node table without the subtrees of marked nodes; numbers stay as they were.
 
-    Intervals nest, so a running maximum over the marks is enough: no join, one shuffle.
+    marked is a selector, which takes one pass over the table, or a table (key, tree_id,
+    node_id, last_id). Intervals nest, so a running maximum over the marks is enough: no
+    join, one shuffle.
     """
+    if isinstance(marked, str):
+        return flag_inside(node_table.repartition(key), marked, key, "_gone", itself=True).where("not _gone").drop("_gone")
     marks = marked.select(key, "tree_id", "node_id", F.col("last_id").alias("_reach"))
     both = node_table.withColumn("_reach", F.lit(None).cast("int")).unionByName(marks, allowMissingColumns=True)
     w = Window.partitionBy(key, "tree_id").orderBy("node_id", F.col("_reach").isNull()).rowsBetween(Window.unboundedPreceding, 0)

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkdom import schema
+from sparkdom.html.dom import Node
 from sparkdom.html.encode import Columns, encode, encode_into
 from sparkdom.html.parse import Document, StrictError, events, parse
 
@@ -80,13 +81,16 @@ class PageBatch:
         self.nodes, self.starts = Columns(), [0]
 
     def add(self, key, doc: Document) -> None:
-        texts, html = encode_into(doc.root, self.nodes)
+        self.put(key, doc.root, doc.encoding, doc.quirks, _errors(doc))
+
+    def put(self, key, root: Node, encoding: str | None, quirks: str, errors: list[dict]) -> None:
+        texts, html = encode_into(root, self.nodes)
         self.keys.append(key)
-        self.encodings.append(doc.encoding)
-        self.quirks.append(doc.quirks)
+        self.encodings.append(encoding)
+        self.quirks.append(quirks)
         self.html.append(html)
         self.texts.append(texts)
-        self.errors.append(_errors(doc))
+        self.errors.append(errors)
         self.starts.append(len(self.nodes))
 
     def arrow(self) -> pa.RecordBatch:
@@ -144,6 +148,15 @@ def nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(key, F.inline("nodes"))
 
 
+def owned_trees(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """The root row of each template's content, with the template's name as `owner`.
+
+    A node's number is its place in the page's array, so the join is a look-up.
+    """
+    rows = pages.select(key, F.col("nodes").alias("_all"), F.inline("nodes")).where("owner_id is not null")
+    return rows.withColumn("owner", F.col("_all")[F.col("owner_id")]["name"]).drop("_all")
+
+
 def trees(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """One row per tree: its text, and on tree 0 the compact HTML."""
     rows = pages.select(key, F.posexplode("texts").alias("tree_id", "tree_text"), "html")

@@ -16,7 +16,7 @@ from sparkdom.operators.parse import kind_of, nodes, per_page, trees
 from sparkdom.plans.css import SelectorError, parse_selector
 from sparkdom.plans.early import decidable, find_first
 from sparkdom.plans.matcher import first_n
-from sparkdom.plans.relational import flag, looks_around
+from sparkdom.plans.relational import flag, flag_inside, flag_parent, looks_around
 from sparkdom.plans.targeted import compile_targeted, may_match
 
 #: Fields of a match and their types.
@@ -117,14 +117,20 @@ def matched(node_table: DataFrame, selector: str, key: str = "page_id") -> DataF
     return flag(node_table, selector, key, "_matched").where("_matched").drop("_matched")
 
 
-def query(pages: DataFrame, selector: str, key: str = "page_id", scope: DataFrame | None = None) -> DataFrame:
+def query(pages: DataFrame, selector: str, key: str = "page_id", scope: DataFrame | str | None = None) -> DataFrame:
     """Matching rows of parsed pages, from the node table alone: filters and windows, one shuffle by key at most.
 
-    scope (key, tree_id, node_id, last_id) keeps what lies inside those nodes; ancestors
-    above them still count in the selector.
+    scope keeps what lies inside the matches of a selector, or inside the nodes of a table
+    (key, tree_id, node_id, last_id); ancestors above them still count in the selector. A
+    selector costs one more window; a table that comes from the same pages parses them again.
     """
     table = nodes(pages, key)
-    rows = matched(table.repartition(key) if looks_around(selector) else table, selector, key)
+    if looks_around(selector) or isinstance(scope, str):
+        table = table.repartition(key)
+    if isinstance(scope, str):
+        found = flag(flag_inside(table, scope, key, "_inside"), selector, key, "_matched")
+        return found.where("_matched and _inside").drop("_matched", "_inside")
+    rows = matched(table, selector, key)
     if scope is None:
         return rows
     # intervals nest, so the innermost scope that begins before a node and reaches it is enough
@@ -135,12 +141,37 @@ def query(pages: DataFrame, selector: str, key: str = "page_id", scope: DataFram
     return inside.where("_reach is null and _in").select(*rows.columns)
 
 
+def _slices(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"raw_text": text_content(), "text": to_text(text_content(extract=True)), "outer_html": outer_html()}).drop("tree_text", "tree_html")
+
+
+def query_text(pages: DataFrame, selector: str, key: str = "page_id") -> DataFrame:
+    """query, with raw_text, text and outer_html: what with_text adds, from one pass over the pages.
+
+    A tree's text and the page's HTML travel on the tree's root row only, and are passed to
+    the matches once the other rows are gone.
+    """
+    if not looks_around(selector):
+        table = pages.select(key, "texts", F.col("html").alias("tree_html"), F.inline("nodes"))
+        return _slices(matched(table, selector, key).withColumn("tree_text", F.col("texts")[F.col("tree_id")]).drop("texts"))
+    table = pages.select(key, "texts", "html", F.inline("nodes"))
+    first = F.col("depth") == 0
+    table = table.withColumns({"_text": F.when(first, F.col("texts")[F.col("tree_id")]), "_html": F.when(F.col("node_id") == 0, F.col("html"))}).drop("texts", "html")
+    flagged = flag(table.repartition(key), selector, key, "_matched").where(F.col("_matched") | first)
+    page, tree = Window.partitionBy(key).orderBy("node_id"), Window.partitionBy(key, "tree_id").orderBy("node_id")
+    rows = flagged.withColumns({"tree_html": F.first("_html").over(page), "tree_text": F.first("_text").over(tree)}).where("_matched")
+    return _slices(rows.drop("_matched", "_text", "_html"))
+
+
 def with_text(rows: DataFrame, pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Adds raw_text, text and outer_html to rows of the node table: slices of their trees."""
+    """Adds raw_text, text and outer_html to rows of the node table: slices of their trees.
+
+    For pages that are stored or cached; others are parsed for each of the three tables, and query_text parses them once.
+    """
     t = trees(pages, key).select(key, "tree_id", "tree_text")
     h = pages.select(key, F.col("html").alias("tree_html"))
     joined = rows.join(t, [key, "tree_id"]).join(h, key)
-    return joined.withColumns({"raw_text": text_content(), "text": to_text(text_content(extract=True)), "outer_html": outer_html()}).drop("tree_text", "tree_html")
+    return _slices(joined)
 
 
 def first_rows(rows: DataFrame, n: int, key: str = "page_id") -> DataFrame:

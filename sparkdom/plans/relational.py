@@ -3,7 +3,7 @@
 One flag per compound is carried from left to right:
 
     descendant   the running maximum of last_id over flagged nodes reaches this node
-    child        the flag of the last node one level up, which in preorder is the parent
+    child        the flag of the row before the first child, which in preorder is the parent
     +            the flag of the element before, by lag
     ~            the running maximum of the flag over earlier element siblings
 
@@ -117,18 +117,11 @@ class Compiler:
         return _sure(F.max(flag).over(siblings.rowsBetween(*before)))
 
     def child(self, flag: str) -> str:
-        """The parent's flag, without a join.
-
-        Every node stands in twice: on its own level, and as a parent on the next. In
-        preorder the last parent before a node of that level is the node's own.
-        """
-        name = f"_f{self.n}"
-        self.n += 1
-        twice = self.df.withColumn("_child", F.explode(F.array(F.lit(False), F.lit(True))))
-        w = Window.partitionBy(self.key, "tree_id", F.col("depth") + F.when(F.col("_child"), 0).otherwise(1)).orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-        up = F.last(F.when(~F.col("_child"), F.col(flag)), ignorenulls=True).over(w)
-        self.df = twice.withColumn(name, _sure(up)).where("_child").drop("_child")
-        return name
+        """The parent's flag, without a join: the row before a first child is the parent, and its siblings take it from there."""
+        tree = Window.partitionBy(self.key, "tree_id").orderBy("node_id")
+        family = Window.partitionBy(self.key, "tree_id", "parent_id").orderBy("node_id")
+        before = self.add(F.when(F.lag("node_id").over(tree) == F.col("parent_id"), F.lag(flag).over(tree)))
+        return self.add(_sure(F.first(before).over(family)))
 
     def list(self, selector: SelectorList) -> str:
         flags = [self.complex(c) for c in selector.branches]
@@ -149,3 +142,18 @@ def flag(nodes: DataFrame, selector: str, key: str, name: str = "matched") -> Da
     compiler = Compiler(nodes, key)
     last = compiler.list(parse_selector(selector))
     return compiler.df.withColumn(name, F.col(last)).select(*nodes.columns, name)
+
+
+def flag_parent(nodes: DataFrame, selector: str, key: str, name: str = "matched") -> DataFrame:
+    """nodes with a boolean column that says whose parent matches."""
+    compiler = Compiler(nodes, key)
+    last = compiler.child(compiler.list(parse_selector(selector)))
+    return compiler.df.withColumn(name, F.col(last)).select(*nodes.columns, name)
+
+
+def flag_inside(nodes: DataFrame, selector: str, key: str, name: str = "inside", itself: bool = False) -> DataFrame:
+    """nodes with a boolean column that says which lie below a match (or are one)."""
+    compiler = Compiler(nodes, key)
+    last = compiler.list(parse_selector(selector))
+    reach = compiler.carried(" ", last)
+    return compiler.df.withColumn(name, F.col(last) | reach if itself else reach).select(*nodes.columns, name)

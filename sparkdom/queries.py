@@ -112,7 +112,7 @@ for _key, _selector, _condition in (
     ("JN1_child", "nav > ul > li > a", "true"),
     ("JN2_descendant", "nav a", "true"),
     ("SEL5_attr_present", "a[href]", "true"),
-    ("SEL28_escapes", "n\\61 v \\61[href]", "true"),
+    ("SEL25_escapes", "n\\61 v \\61[href]", "true"),
 ):
     add(_key, HREFS)(node_query(_selector, as_links))
 
@@ -198,9 +198,7 @@ def node_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("QRY4_scoped", HREFS)
 def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = P.parse_pages(spread(pages(spark, sf_dir)))
-    inside = S.query(parsed, "nav").select("page_id", "tree_id", "node_id", "last_id")
-    return as_links(S.query(parsed, "body a", scope=inside))
+    return as_links(S.query(P.parse_pages(spread(pages(spark, sf_dir))), "body a", scope="nav"))
 
 
 @add("PRJ1_attributes", f"SELECT page_id, pos, href, '__MISSING__' AS rel FROM ({LINK})")
@@ -224,8 +222,7 @@ def inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("FN_T1_text_content", "SELECT page_id, " + decoded("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)") + " AS raw FROM pages WHERE html LIKE '%<h1>%'")
 def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = P.parse_pages(spread(pages(spark, sf_dir)))
-    return S.with_text(S.query(parsed, "h1"), parsed).select("page_id", F.col("raw_text").alias("raw"))
+    return S.query_text(P.parse_pages(spread(pages(spark, sf_dir))), "h1").select("page_id", F.col("raw_text").alias("raw"))
 
 
 @add("FN_T2_link_text", f"SELECT page_id, pos, text FROM ({LINK})")
@@ -313,10 +310,10 @@ def sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("encoding").agg(F.count("*").alias("n"))
 
 
-@add("SRC3_null_page", "SELECT page_id, CAST(4 AS BIGINT) AS n FROM pages WHERE page_id % 10 = 0")
+@add("SRC3_null_page", "SELECT page_id, CAST(4 AS BIGINT) AS n FROM pages")
 def null_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page that is null has the four nodes of an empty document."""
-    rows = pages(spark, sf_dir).where("page_id % 10 = 0").withColumn("html", F.lit(None).cast("string"))
+    rows = pages(spark, sf_dir).withColumn("html", F.lit(None).cast("string"))
     return P.nodes(P.parse_pages(rows)).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
@@ -417,9 +414,8 @@ def mut_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("MUT2_prune", links_where("pos > 1"))
 def mut_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = P.parse_pages(spread(pages(spark, sf_dir)))
-    left = M.prune(P.nodes(parsed).repartition("page_id"), S.query(parsed, "nav li:first-child"))
-    return left.where("name = 'a'").join(left.where("name = 'li'").select("page_id", F.col("node_id").alias("parent_id"), F.col("elem_pos").alias("pos")), ["page_id", "parent_id"]).select("page_id", "pos", C.attr("href").alias("href"))
+    left = M.prune(P.nodes(P.parse_pages(spread(pages(spark, sf_dir)))), "nav li:first-child")
+    return S.numbered(S.matched(left, "nav li > a")).select("page_id", (F.col("pos") + 1).alias("pos"), C.attr("href").alias("href"))
 
 
 @add("MUT3_insert_before", f"SELECT page_id, CAST(pos + 1 AS INT) AS pos FROM ({LINK}) UNION ALL SELECT DISTINCT page_id, 1 FROM ({LINK})")
@@ -455,24 +451,20 @@ def template_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("JN6_template_owner", "SELECT page_id, 'template' AS owner, CAST(1 AS INT) AS tree_id FROM pages WHERE html LIKE '%<nav>%'")
 def template_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.nodes(P.parse_pages(spread(in_templates(spark, sf_dir)))).repartition("page_id")
-    owners = rows.where("name = 'template'").select("page_id", F.col("node_id").alias("owner_id"), F.col("name").alias("owner"))
-    return rows.where("kind = 'fragment'").join(owners, ["page_id", "owner_id"]).select("page_id", "owner", "tree_id")
+    return P.owned_trees(P.parse_pages(spread(in_templates(spark, sf_dir)))).select("page_id", "owner", "tree_id")
 
 
 @add("AG2_ordered_concat", f"SELECT page_id, string_agg(text, '' ORDER BY pos) AS record FROM ({LINK}) GROUP BY page_id")
 def ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text nodes below the navigation, put together in document order."""
     rows = P.nodes(P.parse_pages(spread(pages(spark, sf_dir)))).repartition("page_id")
-    links = S.matched(rows, "nav a").select("page_id", F.col("node_id").alias("parent_id"))
-    return S.records(rows.where("kind = 'text'").join(links, ["page_id", "parent_id"], "left_semi"), C.own_text(), separator="")
+    return S.records(S.flag_parent(rows, "nav a", "page_id").where("kind = 'text' and matched"), C.own_text(), separator="")
 
 
 @add("FN_T3_own_text", "SELECT page_id, " + decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)") + " AS text FROM pages")
 def own_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = P.nodes(P.parse_pages(spread(pages(spark, sf_dir)))).repartition("page_id")
-    titles = S.matched(rows, "head > title").select("page_id", F.col("node_id").alias("parent_id"))
-    return rows.join(titles, ["page_id", "parent_id"], "left_semi").select("page_id", C.own_text().alias("text"))
+    return S.flag_parent(rows, "head > title", "page_id").where("matched").select("page_id", C.own_text().alias("text"))
 
 
 @add("ST2_sorted_attributes", "SELECT page_id, 'a=2,b=1,z=3' AS attributes FROM pages WHERE html LIKE '%<article>%'")
