@@ -53,8 +53,9 @@ def _quoted(value: str) -> str:
 
 def doctype(data: tuple | None) -> str:
     name, public, system = (data or ("html", None, None, False))[:3]
-    ids = ([f" PUBLIC {_quoted(public)}"] + [f" {_quoted(system)}"] * (system is not None)) if public is not None else [f" SYSTEM {_quoted(system)}"] if system is not None else []
-    return f"<!DOCTYPE {'html' if name is None else name}{''.join(ids)}>"
+    keyword = " PUBLIC" if public is not None else " SYSTEM" if system is not None else ""
+    ids = "".join(f" {_quoted(x)}" for x in (public, system) if x is not None)
+    return f"<!DOCTYPE {'html' if name is None else name}{keyword}{ids}>"
 
 
 def is_html(node: Node | None) -> bool:

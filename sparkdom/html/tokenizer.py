@@ -291,8 +291,9 @@ class Tokenizer:
             else:
                 start, end = at, UNQUOTED.match(text, at).end()
                 at = end
-                if self.errors is not None and re.search("[\"'<=`]", text[start:end]):
-                    self.error("unexpected-character-in-unquoted-attribute-value", start)
+                if self.errors is not None:
+                    for m in re.finditer("[\"'<=`]", text[start:end]):
+                        self.error("unexpected-character-in-unquoted-attribute-value", start + m.start())
             value = text[start:end]
             if "&" in value:
                 if self.errors is not None:
@@ -393,6 +394,8 @@ class Tokenizer:
             self.error("invalid-character-sequence-after-doctype-name", at)
             quirks = True
             return bogus(at)
+        if text[at + 6 : at + 7] in ('"', "'") and at + 6 < n:
+            self.error(f"missing-whitespace-after-doctype-{keyword}-keyword", at + 6)
         at = SKIP.match(text, at + 6).end()
         if text[at : at + 1] not in ('"', "'") or at >= n:
             self.error("eof-in-doctype" if at >= n else f"missing-doctype-{keyword}-identifier" if text[at] == ">" else f"missing-quote-before-doctype-{keyword}-identifier", at)
@@ -402,6 +405,8 @@ class Tokenizer:
         if keyword == "public":
             public = value
             if closed:
+                if text[at : at + 1] in ('"', "'") and at < n:
+                    self.error("missing-whitespace-between-doctype-public-and-system-identifiers", at)
                 at = SKIP.match(text, at).end()
                 if text[at : at + 1] in ('"', "'") and at < n:
                     system, at, closed = identifier(at)

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkdom import cases
+from sparkdom.engine import Engine
 from sparkdom.functions import columns as C
 from sparkdom.functions import sql as U
 from sparkdom.operators import mutate as M
@@ -179,9 +181,9 @@ def empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.query(P.parse_pages(spread(pages(spark, sf_dir))), "head > :empty").select("page_id", "name")
 
 
-@add("SEL1_universal")
+@add("SEL1_universal", "SELECT name, count(*) AS n FROM pages, (VALUES ('meta'), ('title'), ('style'), ('script')) AS t(name) GROUP BY name")
 def universal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.query(P.parse_pages(spread(pages(spark, sf_dir))), "body *").groupBy("name").agg(F.count("*").alias("n"))
+    return S.query(P.parse_pages(spread(pages(spark, sf_dir))), "head > *").groupBy("name").agg(F.count("*").alias("n"))
 
 
 @add("QRY2_query_first", links_where("pos = 1", "page_id, href"))
@@ -323,9 +325,47 @@ def errors_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.errors(parsed).groupBy("phase", "code").agg(F.count("*").alias("n"))
 
 
+@add("AG5_duplicate_attributes", "SELECT 'duplicate-attribute' AS code, count(*) AS n FROM pages WHERE html LIKE '%<article>%'")
+def duplicate_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit("<article>"), F.lit("<article x x>")))
+    found = P.errors(P.parse_pages(spread(marked), collect_errors=True)).where("code = 'duplicate-attribute'")
+    return found.groupBy("code").agg(F.count("*").alias("n"))
+
+
+@add("EV5_stream", "SELECT page_id, 'html' AS name FROM pages")
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events() under its older name."""
+    rows = Engine(spark).stream(spread(pages(spark, sf_dir)))
+    return rows.where("event = 'doctype'").select("page_id", F.col("doctype.name").alias("name"))
+
+
 # --- aggregates, windows, limits, joins
 
 
+@add("ST1_document_order", f"SELECT page_id, CAST(2 * pos - 1 AS INT) AS pos, 'li' AS name FROM ({LINK}) UNION ALL SELECT page_id, CAST(2 * pos AS INT), 'a' FROM ({LINK})")
+def document_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.numbered(S.query(P.parse_pages(spread(pages(spark, sf_dir))), "nav a, nav li")).select("page_id", "pos", "name")
+
+
+@add("WN4_window_functions", f"SELECT page_id, pos, lag(text) OVER (PARTITION BY page_id ORDER BY pos) AS before, sum(length(text)) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS two FROM (SELECT page_id, pos, text FROM ({LINK}))")
+def window_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("page_id").orderBy("pos")
+    rows = S.select(spread(pages(spark, sf_dir)), "nav a", ("pos", "text"))
+    return rows.select("page_id", "pos", F.lag("text").over(w).alias("before"), F.sum(F.length("text")).over(w.rowsBetween(-1, 0)).alias("two"))
+
+
+@add("SO4_set_operators", f"SELECT page_id, pos FROM ({LINK}) WHERE pos = 1 OR pos BETWEEN 3 AND 4")
+def set_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.select(spread(pages(spark, sf_dir)), "nav a", ("pos",))
+    return rows.where("pos <= 4").intersect(rows.where("pos >= 3")).union(rows.where("pos <= 4").exceptAll(rows.where("pos >= 2")))
+
+
+@add("FN_D1_function_libraries", f"SELECT page_id, pos, reverse(substring(text, 1, 3)) AS start, CAST(round(sqrt(length(text)), 6) AS DOUBLE) AS root, list_contains(string_split(href, '/'), text) AS named FROM ({LINK})")
+def function_libraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.select(spread(pages(spark, sf_dir)), "nav a", ("pos", "text", "attrs"))
+    return rows.select("page_id", "pos", F.reverse(F.substring("text", 1, 3)).alias("start"), F.round(F.sqrt(F.length("text")), 6).alias("root"), F.array_contains(F.split(F.col("attrs")["href"], "/"), F.col("text")).alias("named"))
+
+
 @add("AG1_count", f"SELECT p.page_id, coalesce(n, 0) AS n FROM pages p LEFT JOIN (SELECT page_id, count(*) AS n FROM ({LINK}) WHERE pos > 4 GROUP BY page_id) c ON p.page_id = c.page_id")
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.query(P.parse_pages(spread(pages(spark, sf_dir))), "nav li:nth-child(n+5)")
@@ -433,6 +473,26 @@ def mut_clone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed_items(M.clone(P.parse_pages(spread(pages(spark, sf_dir))), "nav li:last-child"))
 
 
+@add("MUT5_guards", f"SELECT page_id, true AS refused, CAST(count(*) AS INT) AS items FROM ({LINK}) GROUP BY page_id")
+def mut_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list cannot be moved into an item of its own; the page stays as it was."""
+    left = M.move(P.parse_pages(spread(pages(spark, sf_dir))), "nav ul", "nav li")
+    items = F.size(F.filter("nodes", lambda x: x["name"] == "li"))
+    return left.select("page_id", F.col("mutation_error").isNotNull().alias("refused"), items.alias("items")).where("items > 0")
+
+
+@add("TS9_nested_results", f"SELECT page_id, pos, text FROM ({LINK}) UNION ALL SELECT page_id, 0, string_agg(text, '' ORDER BY pos) FROM ({LINK}) GROUP BY page_id")
+def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A match inside another is a value of its own."""
+    rows = S.select(spread(pages(spark, sf_dir)), "nav ul, nav li", ("pos", "text"), targeted=True)
+    return rows.select("page_id", (F.col("pos") - 1).alias("pos"), "text")
+
+
+@add("TS10_all_matches", "SELECT page_id, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n FROM pages WHERE html LIKE '%<p>%'")
+def all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.select(spread(pages(spark, sf_dir)), "body p", ("pos",), targeted=True).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
 # --- templates, fragments, orders, statistics
 
 
@@ -486,3 +546,7 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far into each page the first paragraph's search reads, and how many elements it makes."""
     return S.select_statistics(spread(pages(spark, sf_dir)), "article p")
+
+
+QUERIES |= cases.QUERIES
+ORACLE_SQL |= cases.ORACLE_SQL

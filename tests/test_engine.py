@@ -167,21 +167,21 @@ def test_stream(spark, tmp_path):
 
 # --- command line
 
-CLI_PAGE = '<!DOCTYPE html><title>Hi</title><p class=record>Alpha</p><p class=record>Beta</p><p class=ws>   \t  </p><span class=chunk>A</span><span class=chunk>B</span><a class=f href=/a rel=next>x</a><a class=f href=/b>y</a>'
+CLI_PAGE = '<!DOCTYPE html><title>Hi</title><dl><dt>Mon</dt><dd class=open>9 to 5</dd><dt>Sun</dt><dd class=open>noon</dd></dl><p class=gap>\n \t</p><p><kbd>F1</kbd> or <kbd>F2</kbd></p><p><a href=/up title=Up>up</a><a href=/down>down</a></p>'
 
 
 @pytest.mark.parametrize(
     ("args", "want"),
     [
-        (["--selector", "p.record", "--format", "text", "--separator", "\\n\\n"], (0, "Alpha\n\nBeta\n")),
-        (["--selector", "p.ws", "--format", "text", "--first"], (0, "\n")),
-        (["--selector", "p.ws", "--format=text", "--whitespace", "preserve", "--first"], (0, "   \t  \n")),
-        (["--selector", "span.chunk", "--format", "html", "--separator", "|"], (0, "<span class=chunk>A</span>|<span class=chunk>B</span>\n")),
-        (["--selector", "p.record", "--format", "markdown", "--separator", "|"], (0, "Alpha|Beta\n")),
-        (["--selector", "p.record", "--format", "markdown"], (0, "Alpha\n\nBeta\n")),
-        (["--selector", "a.f", "--attr", "HREF", "--attr", "rel", "--field-separator", ","], (0, "/a,next\n/b,__MISSING__\n")),
-        (["--selector", "a.f", "--attr=href", "--attr=rel", "--missing", "NA", "--limit", "1"], (0, "/a\tnext\n")),
-        (["--selector", "a.f", "--inner", "--limit=2"], (0, "x\ny\n")),
+        (["--selector", "dd.open", "--format", "text", "--separator", "\\n\\n"], (0, "9 to 5\n\nnoon\n")),
+        (["--selector", "p.gap", "--format", "text", "--first"], (0, "\n")),
+        (["--selector", "p.gap", "--format=text", "--whitespace", "preserve", "--first"], (0, "\n \t\n")),
+        (["--selector", "kbd", "--format", "html", "--separator", "|"], (0, "<kbd>F1</kbd>|<kbd>F2</kbd>\n")),
+        (["--selector", "dt", "--format", "markdown", "--separator", "|"], (0, "Mon|Sun\n")),
+        (["--selector", "dt", "--format", "markdown"], (0, "Mon\n\nSun\n")),
+        (["--selector", "a", "--attr", "HREF", "--attr", "title", "--field-separator", ","], (0, "/up,Up\n/down,__MISSING__\n")),
+        (["--selector", "a", "--attr=href", "--attr=title", "--missing", "NA", "--limit", "1"], (0, "/up\tUp\n")),
+        (["--selector", "a", "--inner", "--limit=2"], (0, "up\ndown\n")),
         (["--selector", "title:last-of-type", "--format", "text", "--first"], (0, "Hi\n")),
         (["--selector", "p", "--count"], (0, "3\n")),
         (["--selector", "q", "--count"], (0, "0\n")),
