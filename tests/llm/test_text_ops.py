@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from sparkdom.llm import bpe, components, decontaminate, ppm, quality, simhash, suffix_dedup, toxicity  # noqa: E402
+from sparkdom.llm import bpe, components, decontaminate, jaccard, ppm, quality, simhash, suffix_dedup, toxicity  # noqa: E402
 from sparkdom.llm.common import fold  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -501,10 +501,13 @@ def test_repeats_odd(spark, odd, none):
     assert [r.text for r in left.where("doc_id in (1, 4)").orderBy("doc_id").collect()] == [None, "x", "x"]
 
 
-def test_jaccard_near_copies(spark, odd, none, small):
-    """Pairs of 5-word Jaccard similarity 0.8 or more are linked, however far apart their SimHashes; others are not."""
+@pytest.mark.parametrize("chunk", [1 << 22, 600, 150])
+def test_jaccard_near_copies(spark, odd, none, small, monkeypatch, chunk):
+    """Pairs of 5-word Jaccard similarity 0.8 or more are linked, however far apart their SimHashes and in however many chunks; others are not."""
     import corpus_pipeline
 
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+
     rng = random.Random(8)
     rows, sets = [], {}
     for base in range(12):
