@@ -3,17 +3,19 @@
 A vector is coded as a sum of one full-dimensional codeword from each of M codebooks,
 found by beam search; its code and the norm of that sum are stored. For a query,
 |q - x|^2 ~ |q|^2 - 2 sum_m <q, c_m> + |x'|^2 comes from a table of inner products. The
-best of every block of rows, and all that tie with the last of them, are then ranked by
-the exact distance, in double precision. Equal vectors of a block are one entry, with as
-many of its smallest ids as any query can be given, so that copies crowd nothing out.
+`rerank` best of the whole index, however many blocks that has, are then ranked by the
+exact distance, in double precision.
 
-Every row is coded; only the codebooks are fitted on a bounded sample. Queries go
-against all blocks in groups of bounded size.
+Equal vectors are one entry, with the k + 1 smallest of their ids, so that copies crowd
+nothing out; repeated rows are candidates each for itself. Every row is coded; only the codebooks are fitted on a bounded sample. Codes
+and vectors are stored apart: scoring reads the codes alone. Queries go against all blocks
+in groups of bounded size; a task passes on `rerank` candidates for each query.
 
 Defined cases: rows without an id, and vectors that are null, empty or zero, hold null or
 non-finite components, or differ in length from the most common length (of equals the
-shortest), take no part; with fewer candidates than asked for all are returned; ties go
-to the smaller id; a row repeated with a query's id is never its neighbour.
+shortest), take no part; where an id that asks has several vectors, the first in order
+asks; with fewer candidates than asked for all are returned; ties go to the smaller id; a
+row with a query's id is never its neighbour.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkdom.llm.common import materialize
 
-#: Rows of a block, distinct vectors of a block that are ranked exactly (more where scores tie), queries scored at once, bytes of queries broadcast at once.
-BLOCK, RERANK, TOGETHER, GROUP_BYTES = 4096, 200, 256, 32 << 20
+#: Vectors of a block, those that are ranked exactly for a query, queries scored at once, bytes of queries broadcast at once.
+BLOCK, RERANK, TOGETHER, GROUP_BYTES = 4096, 400, 256, 4 << 20
 
 
 class AdditiveQuantizer:
@@ -108,70 +112,88 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return flat.astype(kind, copy=False).reshape(len(column), -1)
 
 
-def collapse(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct vectors, how many ids each has, and the ids, vector by vector.
+def entries(rows: DataFrame, k: int) -> DataFrame:
+    """(embedding, ids): every different vector, with the k + 1 smallest of its ids, each as often as it has rows (k times at most).
 
-    A query is given k ids of one vector at most, and none that is its own. So of an id's
-    rows k are enough, and of what is left the 2k smallest: dropping any id leaves k.
+    Rows are counted first, which deals the copies of a vector out by their ids; the limit of
+    the ranks is applied before the second exchange too, so a frequent vector sends a few
+    rows a task.
     """
-    same = np.ascontiguousarray(x + x.dtype.type(0))  # no negative zeros
-    _, first, entry = np.unique(same.view(np.dtype((np.void, same.strides[0]))).ravel(), return_index=True, return_inverse=True)
-    order = np.lexsort((ids, entry))
-    for columns, most in (((entry, ids), k), ((entry,), 2 * k)):
-        new = np.any([np.diff(c[order], prepend=c[order][:1] - 1) != 0 for c in columns], 0)
-        place = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-        order = order[place < most]
-    return x[first], np.bincount(entry[order], minlength=len(first)).astype(np.int32), ids[order]
-
-
-def build(vectors: DataFrame, quantizer: AdditiveQuantizer, kind: str, k: int) -> DataFrame:
-    """Blocks of (ids, how many of each vector, codes, norms, distinct vectors) as binaries."""
+    once = rows.groupBy("vec_id", "embedding").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    few = once.withColumn("_rank", rank).where(F.col("_rank") <= k + 1)
+    listed = few.groupBy("embedding").agg(F.sort_array(F.collect_list(F.struct("vec_id", "times"))).alias("listed"))
+    return listed.select("embedding", F.flatten(F.transform("listed", lambda x: F.array_repeat(x["vec_id"], x["times"]))).alias("ids"))
+
+
+def build(vectors: DataFrame, quantizer: AdditiveQuantizer, kind: str) -> DataFrame:
+    """Blocks of entries as binaries: block, n, codes, norms, vectors, ids, each (how many ids a vector has)."""
     sent = vectors.sparkSession.sparkContext.broadcast(quantizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for b in batches:
             for s in range(0, b.num_rows, BLOCK):
                 part = b.slice(s, BLOCK)
-                x, each, ids = collapse(part.column(0).to_numpy(), _matrix(part.column(1), np.dtype(kind)), k)
+                x = _matrix(part.column(0), np.dtype(kind))
                 codes, norms = sent.value.encode(x)
-                yield pa.RecordBatch.from_pydict({"n": pa.array([len(x)], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("ids", ids), ("each", each), ("codes", codes), ("norms", norms.astype(np.float32)), ("vectors", x))}})
+                ids = part.column(1)
+                each = pc.list_value_length(ids).to_numpy().astype(np.int32)
+                held = (("codes", codes), ("norms", norms.astype(np.float32)), ("vectors", x), ("ids", ids.flatten().to_numpy()), ("each", each))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "n": pa.array([len(x)], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in held}})
+                number += 1
 
-    return vectors.mapInArrow(run, "n int, ids binary, each binary, codes binary, norms binary, vectors binary")
+    return vectors.select("embedding", "ids").mapInArrow(run, "block long, n int, codes binary, norms binary, vectors binary, ids binary, each binary")
 
 
-def _closest(ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, d))[:k]
-    return ids[order], d[order]
+def _candidates(index: DataFrame, quantizer: AdditiveQuantizer, q: np.ndarray, rerank: int) -> DataFrame:
+    """(query, near, block, row): each task's `rerank` best scores for every query, which is a row of q."""
+    sent = index.sparkSession.sparkContext.broadcast((quantizer, q))
 
-
-def _search(index: DataFrame, quantizer: AdditiveQuantizer, qids: np.ndarray, q: np.ndarray, k: int, rerank: int, kind: str) -> DataFrame:
-    """Each task's k nearest for every query of one group."""
-    sent = index.sparkSession.sparkContext.broadcast((quantizer, qids, q))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aq, q = sent.value
+        near = np.full((len(q), 0), 0, np.float32)
+        blocks, rows = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int32)
+        for b in batches:
+            for block, n, codes, norms in zip(*b.columns, strict=True):
+                n = n.as_py()
+                codes, norms = np.frombuffer(codes.as_py(), np.uint8).reshape(n, -1), np.frombuffer(norms.as_py(), np.float32)
+                parts = [aq.scores(q[s : s + TOGETHER], codes, norms) for s in range(0, len(q), TOGETHER)]
+                best = [np.argpartition(p, rerank - 1, 1)[:, :rerank] if rerank < n else np.tile(np.arange(n), (len(p), 1)) for p in parts]
+                at = np.concatenate(best).astype(np.int32)
+                near = np.concatenate([near, np.concatenate([np.take_along_axis(p, i, 1) for p, i in zip(parts, best, strict=True)])], 1)
+                rows = np.concatenate([rows, at], 1)
+                blocks = np.concatenate([blocks, np.full(at.shape, block.as_py())], 1)
+                if near.shape[1] > rerank:
+                    keep = np.argpartition(near, rerank - 1, 1)[:, :rerank]
+                    near, rows, blocks = (np.take_along_axis(x, keep, 1) for x in (near, rows, blocks))
+        if near.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q), dtype=np.int32), near.shape[1])), pa.array(near.ravel()), pa.array(blocks.ravel()), pa.array(rows.ravel())], ["query", "near", "block", "row"])
+
+    return index.select("block", "n", "codes", "norms").mapInArrow(run, "query int, near float, block long, row int")
+
+
+def _exact(index: DataFrame, candidates: DataFrame, qids: np.ndarray, q: np.ndarray, kind: str) -> DataFrame:
+    """(query_id, vec_id, score) for all ids of the candidates, from the stored vectors."""
+    sent = index.sparkSession.sparkContext.broadcast((qids, q))
+    wanted = candidates.groupBy("block").agg(F.collect_list(F.struct("query", "row")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aq, qids, q = sent.value
-        best = [(np.array([], np.int64), np.array([], np.float64))] * len(qids)
+        qids, q = sent.value
         for b in batches:
-            for r in b.to_pylist():
-                ids, codes, norms, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["codes"], np.uint8).reshape(r["n"], -1), np.frombuffer(r["norms"], np.float32), np.frombuffer(r["vectors"], np.dtype(kind)).reshape(r["n"], -1)
-                each = np.frombuffer(r["each"], np.int32)
-                ends = np.cumsum(each)
-                top = min(max(rerank, 2 * k), r["n"])
-                for s in range(0, len(qids), TOGETHER):
-                    part = aq.scores(q[s : s + TOGETHER], codes, norms)
-                    cut = np.partition(part, top - 1, 1)[:, top - 1 : top]
-                    for i, near in enumerate(part <= cut, s):
-                        rows = np.flatnonzero(near)
-                        d = np.sqrt(((x[rows].astype(np.float64) - q[i]) ** 2).sum(1))
-                        n = each[rows]
-                        at = np.arange(n.sum()) + np.repeat(ends[rows] - np.cumsum(n), n)
-                        found, d = ids[at], np.repeat(d, n)
-                        other = found != qids[i]
-                        best[i] = _closest(np.concatenate([best[i][0], found[other]]), np.concatenate([best[i][1], d[other]]), k)
-        if sizes := [len(i) for i, _ in best]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, sizes)), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([d for _, d in best]))], ["query_id", "vec_id", "score"])
-
-    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+            for n, vectors, ids, each, pairs in zip(*b.columns, strict=True):
+                x = np.frombuffer(vectors.as_py(), np.dtype(kind)).reshape(n.as_py(), -1)
+                ids, each = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(each.as_py(), np.int32)
+                query, row = (pairs.values.field(c).to_numpy() for c in (0, 1))
+                d = np.concatenate([np.sqrt(((x[row[s : s + BLOCK]].astype(np.float64) - q[query[s : s + BLOCK]]) ** 2).sum(1)) for s in range(0, len(row), BLOCK)])
+                m = each[row]
+                at = np.arange(m.sum()) + np.repeat(np.cumsum(each)[row] - np.cumsum(m), m)
+                who, found, d = np.repeat(qids[query], m), ids[at], np.repeat(d, m)
+                other = who != found
+                yield pa.RecordBatch.from_arrays([pa.array(who[other]), pa.array(found[other]), pa.array(d[other])], ["query_id", "vec_id", "score"])
+
+    met = index.select("block", "n", "vectors", "ids", "each").join(wanted, "block").select("n", "vectors", "ids", "each", "wanted")
+    return met.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, sample: int = 8192, rerank: int = RERANK, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -186,15 +208,18 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     rows = rows.where(F.size("embedding") == shape["dim"])
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow().column(0).combine_chunks()
     quantizer = AdditiveQuantizer().fit(_matrix(picked, np.float64))
-    index, _ = materialize(spark, build(rows.select("vec_id", "embedding"), quantizer, kind, k), "codes")
+    index, _ = materialize(spark, build(entries(rows, k), quantizer, kind), "codes")
+    most = max(rerank, 2 * k)
     groups = -(-shape["q"] * (shape["dim"] + 1) * 8 // group_bytes)
     found = []
     for g in range(groups):
-        asked = rows.where(F.col("asks") & (F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g)).select("vec_id", "embedding").distinct().toArrow()
+        asked = rows.where(F.col("asks") & (F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g)).groupBy("vec_id").agg(F.min("embedding")).toArrow()
         if not asked.num_rows:
             continue
-        q = _matrix(asked.column(1).combine_chunks(), np.float64)
-        part = _search(index, quantizer, asked.column(0).to_numpy(), q, k, rerank, kind)
+        qids, q = asked.column(0).to_numpy(), _matrix(asked.column(1).combine_chunks(), np.float64)
+        best = F.row_number().over(Window.partitionBy("query").orderBy("near", "block", "row"))
+        near = _candidates(index, quantizer, q, most).withColumn("_rank", best).where(F.col("_rank") <= most)
+        part = _exact(index, near, qids, q, kind)
         if groups > 1:
             part, _ = materialize(spark, part, "found")
         found.append(part)
@@ -203,4 +228,3 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         every = every.unionByName(part)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
