@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from sparkdom.llm.common import materialize
 
 #: Vectors of a block, those that are ranked exactly for a query, queries scored at once, bytes of queries broadcast at once.
-BLOCK, RERANK, TOGETHER, GROUP_BYTES = 4096, 400, 256, 4 << 20
+BLOCK, RERANK, TOGETHER, GROUP_BYTES = 4096, 800, 256, 2 << 20
 
 
 class AdditiveQuantizer:

@@ -19,6 +19,10 @@ Every digit is a count by key with partial sums in each task, so a passage in a
 all documents costs a row for each task. Keys are pairs of 64-bit hashes. Documents are
 known by two hashes of their text: copies of a text share what is found.
 
+`every_suffix` is the plain sort: all suffixes are entered and told apart by consecutive
+digits of DIGIT bytes from their start. It finds the same, for many times the disk (see
+the README), and takes any corpus that has that disk.
+
 Defined cases: a null text is an empty one; texts under `width` bytes lose nothing;
 repeated rows are copies like any other; the text left over drops the bytes of a
 character that is cut in two; an empty table gives no rows.
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from sparkdom.llm.common import drop_table, free_names, materialize, release, tidy
 
-GRAM, BLOCK = 48, 12
+GRAM, BLOCK, DIGIT = 48, 12, 50
 #: Bytes hashed at once; places in it take the low bits of a packed number.
 PLACE_BITS = 18
 CHUNK = 1 << PLACE_BITS
@@ -249,11 +253,44 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def covered(docs: DataFrame, text: str = "text", width: int = 200) -> DataFrame:
+def _sorted(hashed: DataFrame, width: int) -> DataFrame:
+    """Covered stretches (t1, t2, s, e), by a most-significant-digit sort of every suffix of at least `width` bytes."""
+    spark = hashed.sparkSession
+    ends = [*range(DIGIT, width, DIGIT), width]
+    digits = [f"d{k}" for k in range(len(ends))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t1, t2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for buf, starts, last, number, base in pieces([(t.as_py() or "").encode() for t in b.column(2)], width):
+                hashes = Hashes(buf)
+                at = np.arange(max(len(buf) - width + 1, 0))
+                part = np.searchsorted(starts, at, "right") - 1
+                at = at[at + width <= last[part]]
+                part = np.searchsorted(starts, at, "right") - 1
+                doc = number[part]
+                # the hash of a digit covers those before it: equal ones are one group of the sort
+                yield pa.RecordBatch.from_arrays([pa.array(t1[doc]), pa.array(t2[doc]), pa.array((at - starts[part] + base[part]).astype(np.int32)), *(_signed(hashes(at, at + e)) for e in ends)], ["t1", "t2", "place", *digits])
+
+    live = hashed.select("t1", "t2", "text").mapInArrow(tidy(run), "t1 long, t2 long, place int" + "".join(f", {d} long" for d in digits))
+    live, path = materialize(spark, live, "suffixes")
+    for k, d in enumerate(digits):
+        twice, twice_path = materialize(spark, live.groupBy(d).agg(F.count("*").alias("n")).where("n > 1").select(d), "digit")
+        rest, rest_path = materialize(spark, live.join(twice, d, "left_semi").select("t1", "t2", "place", *digits[k + 1 :]), "suffixes")
+        drop_table(spark, path)
+        drop_table(spark, twice_path)
+        live, path = rest, rest_path
+    return live.select("t1", "t2", F.col("place").alias("s"), (F.col("place") + width).alias("e"))
+
+
+def covered(docs: DataFrame, text: str = "text", width: int = 200, every_suffix: bool = False) -> DataFrame:
     """The stretches to remove of each text: t1, t2, spans."""
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     hashed = docs.select(F.xxhash64(whole).alias("t1"), F.xxhash64(F.lit(1), whole).alias("t2"), whole.alias("text"))
+    if every_suffix:
+        lists, _ = materialize(spark, _sorted(hashed, width).groupBy("t1", "t2").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
+        return lists
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
@@ -279,13 +316,13 @@ def covered(docs: DataFrame, text: str = "text", width: int = 200) -> DataFrame:
     return lists
 
 
-def remove(docs: DataFrame, text: str = "text", width: int = 200, keep_text: bool = False, key: str = "doc_id") -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", width: int = 200, keep_text: bool = False, key: str = "doc_id", every_suffix: bool = False) -> DataFrame:
     """Bytes covered by a window of `width` bytes that also starts anywhere else are taken out.
 
     By default key, n_bytes, n_removed, n_spans, kept_sha256 of every row; with keep_text all
     columns of docs, its text replaced by what is left.
     """
-    lists = covered(docs, text, width)
+    lists = covered(docs, text, width, every_suffix)
     whole = F.coalesce(F.col(text), F.lit(""))
     others = [c for c in docs.columns if c != text] if keep_text else [key]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}

@@ -475,6 +475,8 @@ def test_repeats_against_brute_force(spark, seed, width):
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove(docs, width=width).collect()}
     want = dict(enumerate(brute_repeats(texts, width)))
     assert got == want and sum(w[1] for w in want.values()) > 0
+    plain = suffix_dedup.remove(docs, width=width, every_suffix=True)
+    assert {r.doc_id: tuple(r)[1:] for r in plain.collect()} == want
 
 
 def test_long_texts_in_parts(spark, monkeypatch):
