@@ -99,9 +99,9 @@ SCALARS = {f: globals()[f] for f in ("html_text", "html_raw_text", "html_markdow
 
 
 def register(spark: SparkSession) -> None:
-    """Make the functions known to SQL in this session."""
+    """Make the functions known to SQL in this session. Rows of table functions leave in Arrow batches."""
     for name, fn in SCALARS.items():
         spark.udf.register(name, fn)
-    spark.udtf.register("html_nodes", F.udtf(HtmlNodes, returnType=T._parse_datatype_string(f"struct<{schema.NODE}>")))
-    spark.udtf.register("html_events", F.udtf(HtmlEvents, returnType=schema.EVENT))
-    spark.udtf.register("html_matches", F.udtf(HtmlMatches, returnType="pos int, name string, text string, outer_html string"))
+    spark.udtf.register("html_nodes", F.udtf(HtmlNodes, returnType=T._parse_datatype_string(f"struct<{schema.NODE}>"), useArrow=True))
+    spark.udtf.register("html_events", F.udtf(HtmlEvents, returnType=schema.EVENT, useArrow=True))
+    spark.udtf.register("html_matches", F.udtf(HtmlMatches, returnType="pos int, name string, text string, outer_html string", useArrow=True))
