@@ -112,6 +112,12 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     return flat.astype(kind, copy=False).reshape(len(column), -1)
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean, in double precision; squares are added up one component after the other, as a plain loop does."""
+    squares = (x.astype(np.float64) - q) ** 2
+    return np.sqrt(np.add.accumulate(squares, 1)[:, -1])
+
+
 def entries(rows: DataFrame, k: int) -> DataFrame:
     """(embedding, ids): every different vector, with the k + 1 smallest of its ids, each as often as it has rows (k times at most).
 
@@ -185,7 +191,7 @@ def _exact(index: DataFrame, candidates: DataFrame, qids: np.ndarray, q: np.ndar
                 x = np.frombuffer(vectors.as_py(), np.dtype(kind)).reshape(n.as_py(), -1)
                 ids, each = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(each.as_py(), np.int32)
                 query, row = (pairs.values.field(c).to_numpy() for c in (0, 1))
-                d = np.concatenate([np.sqrt(((x[row[s : s + BLOCK]].astype(np.float64) - q[query[s : s + BLOCK]]) ** 2).sum(1)) for s in range(0, len(row), BLOCK)])
+                d = np.concatenate([distances(x[row[s : s + BLOCK]], q[query[s : s + BLOCK]]) for s in range(0, len(row), BLOCK)])
                 m = each[row]
                 at = np.arange(m.sum()) + np.repeat(np.cumsum(each)[row] - np.cumsum(m), m)
                 who, found, d = np.repeat(qids[query], m), ids[at], np.repeat(d, m)

@@ -96,4 +96,25 @@ ORACLE_SQL: dict[str, str] = {
           GROUP BY host, path)
         SELECT page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
         FROM u LEFT JOIN m ON u.host = m.host AND u.path = m.path""",
+    # exact neighbours: what the search finds wherever no more vectors are there than it ranks exactly
+    "op6_ann": r"""
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (SELECT len(e) AS dim FROM v GROUP BY 1 ORDER BY count(*) DESC, dim LIMIT 1),
+        u AS (SELECT v.* FROM v, s WHERE len(e) = dim)
+        SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+          SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM (
+            SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda x, y: x + y)) AS score
+            FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""",
+    "op9_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        o AS (SELECT r, low, substring(h, CAST(2 * low + 1 AS BIGINT), 1398) AS x, length(h) // 2 AS nb FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199, 500)) AS low FROM d WHERE length(h) >= 400)),
+        w AS (SELECT r, low + j AS s, hash(substring(x, CAST(2 * j + 1 AS BIGINT), 400)) AS k FROM (SELECT r, low, x, unnest(range(0, least(500, nb - low - 199))) AS j FROM o)),
+        c AS (SELECT r, s FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+        g AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 200 THEN 0 ELSE 1 END AS fresh FROM c),
+        p AS (SELECT r, min(s) AS a, max(s) + 200 AS b FROM (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS run FROM g) GROUP BY r, run),
+        k AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS f, a AS t FROM p UNION ALL SELECT r, max(b), NULL FROM p GROUP BY r),
+        t AS (SELECT k.r, string_agg(substring(h, CAST(2 * f + 1 AS BIGINT), CAST(2 * (coalesce(t, length(h) // 2) - f) AS BIGINT)), '' ORDER BY f) AS kept FROM k JOIN d ON k.r = d.r GROUP BY k.r),
+        n AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM p GROUP BY r)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN t ON d.r = t.r""",
 }

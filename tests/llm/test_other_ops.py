@@ -216,7 +216,7 @@ def test_queries_and_pipeline(spark, small):
     duckdb = pytest.importorskip("duckdb")
     assert sorted({int(k[2:].split("_")[0]) for k in queries.QUERIES}) == list(range(1, 11))
     con = duckdb.connect()
-    for t in ("pages", "documents"):
+    for t in ("pages", "documents", "embeddings"):
         con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, small)
