@@ -437,7 +437,8 @@ def test_components(spark):
 # --- repeated passages
 
 
-def brute_repeats(texts, width):
+def brute_spans(texts, width):
+    """For each text a byte array, with 1 for what goes."""
     raw = [(t or "").encode() for t in texts]
     seen = defaultdict(int)
     for t in raw:
@@ -448,6 +449,11 @@ def brute_repeats(texts, width):
         for s in range(len(t) - width + 1):
             if seen[t[s : s + width]] > 1:
                 gone[s : s + width] = b"\1" * width
+        yield gone
+
+
+def brute_repeats(texts, width):
+    for t, gone in zip([(t or "").encode() for t in texts], brute_spans(texts, width), strict=True):
         kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
         spans = sum(1 for i in range(len(t)) if gone[i] and (i == 0 or not gone[i - 1]))
         yield len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()
@@ -536,3 +542,56 @@ def test_jaccard_near_copies(spark, odd, none, small, monkeypatch, chunk):
     # null and wordless texts are one group, and no key comes before any
     assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "4", "5", "None"]
     assert corpus_pipeline.drop_near_copies(spark, none, small).count() == 0
+
+
+# --- pipeline
+
+
+def brute_groups(texts):
+    """For each text the place of the first that a chain of 5-word Jaccard similarities of 0.8 or more links it to."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {b" ".join(w)} if w else set())
+    first = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) > 0:
+                a, b = sorted((first[i], first[j]))
+                first = [a if f == b else f for f in first]
+    return first
+
+
+def test_pipeline_against_brute_force(spark, small, vocabulary):
+    """Every stage done the plain way on all of a small table."""
+    import corpus_pipeline
+    import tokenizers
+
+    read = lambda name: spark.read.parquet(f"{small}/{name}.parquet")
+    docs = sorted((r.doc_id, r.text) for r in read("documents").collect())
+    model = toxicity.learn(read("documents"), read("labels"), fold("doc_id", 3) != 1)
+    docs = [(i, t) for i, t in docs if 1 / (1 + np.exp(-model.bias - sum(model.weights.get(f, 0.0) for w in toxicity.words_of(t or "") for f in toxicity.of_word(w)))) < 0.7]
+    first = brute_groups([t for _, t in docs])
+    docs = [d for k, d in enumerate(docs) if first[k] == k]
+    kept = []
+    gone = brute_spans([t for _, t in docs], 200)
+    for (i, t), cut in zip(docs, gone, strict=True):
+        kept.append((i, bytes(c for c, g in zip((t or "").encode(), cut, strict=True) if not g).decode("utf-8", "ignore")))
+    items = [words for r in read("benchmark").collect() if (words := decontaminate.words_of(r.text))]
+    pairs = [set(zip(w, w[1:], strict=False)) for w in items]
+    clean = []
+    for i, t in kept:
+        words = decontaminate.words_of(t)
+        here = set(zip(words, words[1:], strict=False))
+        # an item that leaks keeps a pair of its words at least
+        if not any(brute_leak(w, words, decontaminate.edits(len(w), 0.8)) for w, p in zip(items, pairs, strict=True) if p & here):
+            clean.append((i, t))
+    library = tokenizers.Tokenizer.from_file(str(vocabulary))
+    library.no_truncation()
+    library.no_padding()
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in clean}
+    rows = corpus_pipeline.run(spark, small).collect()
+    assert {r.doc_id: r.ids for r in rows} == want and len(rows) == len(want) > 50
+    for r in rows:
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(want[r.doc_id], skip_special_tokens=False).encode()).hexdigest()
+        assert r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest()
