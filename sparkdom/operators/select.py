@@ -14,7 +14,7 @@ from sparkdom.html.parse import parse
 from sparkdom.html.serialize import SerializeError, compact, inside, leaf, to_html
 from sparkdom.operators.parse import kind_of, nodes, per_page, trees
 from sparkdom.plans.css import SelectorError, parse_selector
-from sparkdom.plans.early import decidable, find_first
+from sparkdom.plans.early import decidable, find_early, find_first
 from sparkdom.plans.matcher import first_n
 from sparkdom.plans.relational import flag, flag_inside, flag_parent, looks_around
 from sparkdom.plans.targeted import compile_targeted, may_match
@@ -70,7 +70,7 @@ def select(df: DataFrame, selector: str | None, fields: Sequence[str] = ("pos",
     Parsing, matching and projecting are one stage, so nothing but the fields leaves it.
     targeted restricts the selector to the subset of targeted extraction, prefilter drops
     pages below the stage that lack a literal every match needs. selector None gives the
-    document itself. limit is per page; a targeted selector with limit 1 reads no further
+    document itself. limit is per page; a targeted selector with a limit reads no further
     than it must.
     """
     parsed = None if selector is None else compile_targeted(selector) if targeted else parse_selector(selector)
@@ -78,13 +78,12 @@ def select(df: DataFrame, selector: str | None, fields: Sequence[str] = ("pos",
     if parsed is not None and prefilter and textual and (needed := may_match(parsed, F.col(html))) is not None:
         df = df.where(needed)
 
-    early = targeted and limit == 1 and decidable(parsed)
+    early = targeted and limit is not None and decidable(parsed)
 
     def rows(_, text) -> Iterator[tuple]:
         if early:
-            node = find_first(text, parsed, encoding)
-            if node is not None:
-                yield _project(node, 1, fields)
+            for pos, node in enumerate(find_early(text, parsed, limit, encoding), 1):
+                yield _project(node, pos, fields)
             return
         root = parse(text, encoding=encoding).root
         found = [root] if parsed is None else first_n(root, parsed, limit)

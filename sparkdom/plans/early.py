@@ -1,14 +1,17 @@
-"""The first match of a page, without reading on once nothing can change it any more.
+"""The first matches of a page, without reading on once nothing can change them any more.
 
 A candidate is judged when it is closed and the tree builder is in a calm state: no
 formatting element, table, select or template open, and the body beyond
 replacement by a frameset; and nothing so far was fostered or moved. From there on elements are only added behind it, so what it is,
-where it stands and what it holds are final. Pages that never get calm are parsed to the
+where it stands and what it holds are final. Candidates are judged in document order, so a later
+one waits for those that are still open before it. Pages that never get calm are parsed to the
 end and searched as a whole.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 from sparkdom.html.dom import Node
 from sparkdom.html.encoding import decode_html
 from sparkdom.html.tokenizer import Tokenizer
@@ -71,37 +74,44 @@ class _Watcher(TreeBuilder):
         return waiting and not self.displaced and not self.templates and not self.saw_selectedcontent and all(n.ns == "html" and n.name not in UNSETTLED for n in self.stack)
 
 
-def find_first(html: str | bytes | None, selector: SelectorList, encoding: str | None = None, statistics: dict[str, int] | None = None) -> Node | None:
-    """What query_first() gives for the whole page. statistics gets the characters read and the elements made."""
+def find_early(html: str | bytes | None, selector: SelectorList, limit: int = 1, encoding: str | None = None, statistics: dict[str, int] | None = None) -> list[Node]:
+    """The first `limit` of what query() gives for the whole page. statistics gets the characters read and the elements made."""
     if isinstance(html, (bytes, bytearray, memoryview)):
         html, _ = decode_html(bytes(html), encoding)
     tags = [next((s.name.lower() for s in b.compounds[-1] if s.kind == "tag"), None) for b in selector.branches]
     builder = _Watcher(None if None in tags else frozenset(tags))
     tokenizer = Tokenizer(html or "", builder)
-    found = _search(tokenizer, builder, selector)
+    found = _search(tokenizer, builder, selector, limit)
     if statistics is not None:
         statistics |= {"read": min(tokenizer.pos, len(tokenizer.text)), "made": builder.made}
     return found
 
 
-def _search(tokenizer: Tokenizer, builder: _Watcher, selector: SelectorList) -> Node | None:
+def find_first(html: str | bytes | None, selector: SelectorList, encoding: str | None = None, statistics: dict[str, int] | None = None) -> Node | None:
+    """What query_first() gives for the whole page."""
+    return next(iter(find_early(html, selector, 1, encoding, statistics)), None)
+
+
+def _search(tokenizer: Tokenizer, builder: _Watcher, selector: SelectorList, limit: int) -> list[Node]:
+    found: list[Node] = []
     while tokenizer.step():
         if not builder.seen or tokenizer.pending or tokenizer.state != "data":
             continue
         if not builder.calm():
             continue
-        matcher, left = Matcher(), []
+        matcher, judged = Matcher(), 0
         for node in builder.seen:
-            if any(n is node for n in builder.stack) or left:
-                left.append(node)  # still open, or behind one that is
-            elif (top := _top(node)).kind == "fragment" or builder.frameset_ok and not _in_head(node):
-                left.append(node)  # whether its template stays, or the body, is open
-            elif top is not builder.document:
-                continue
-            elif matcher.matches(node, selector):
-                return node
-        builder.seen = left
-    return next(find(builder.result(), selector), None)
+            if any(n is node for n in builder.stack):
+                break  # still open, and those after it wait
+            if (top := _top(node)).kind == "fragment" or builder.frameset_ok and not _in_head(node):
+                break  # whether its template stays, or the body, is open
+            judged += 1
+            if top is builder.document and matcher.matches(node, selector):
+                found.append(node)
+                if len(found) == limit:
+                    return found
+        del builder.seen[:judged]
+    return list(islice(find(builder.result(), selector), limit))
 
 
 def _in_head(node: Node) -> bool:

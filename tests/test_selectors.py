@@ -149,7 +149,7 @@ EARLY = ["title", "p", "div p", "div > p", "p.x", "#a", ".z", "li:first-child",
 
 def test_early_is_query_first():
     from sparkdom.html.serialize import compact
-    from sparkdom.plans.early import decidable, find_first
+    from sparkdom.plans.early import decidable, find_early, find_first
 
     rng = random.Random(12)
     for selector in EARLY:
@@ -158,9 +158,15 @@ def test_early_is_query_first():
         for html in HAZARDS + MISNESTED + [forest(rng) for _ in range(250)]:
             got, want = find_first(html, parsed), query_first(parse(html).root, selector)
             assert (got and compact(got), got and got.attrs) == (want and compact(want), want and want.attrs), (selector, html)
+            whole = [(compact(n), n.attrs) for n in query_tree(parse(html).root, selector)]
+            for limit in (2, 5):
+                assert [(compact(n), n.attrs) for n in find_early(html, parsed, limit)] == whole[:limit], (selector, html, limit)
     assert not any(decidable(compile_targeted(s)) for s in ("*", "body", ":first-child", "p:not(.x)", ".a p", "html", "[x]"))
     head = "<!DOCTYPE html><title>a</title>"
     assert find_first(head + "<p>" * 200_000, compile_targeted("title")).to_text() == "a"
+    seen: dict[str, int] = {}
+    items = "".join(f"<li>{i}</li>" for i in range(50_000))
+    assert [n.to_text() for n in find_early(f"<ul>{items}</ul>", compile_targeted("li"), 3, statistics=seen)] == ["0", "1", "2"] and seen["read"] < 100
 
 
 def test_slices(forests):
