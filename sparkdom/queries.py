@@ -252,9 +252,9 @@ def test_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(pages(spark, sf_dir)).select("page_id", U.html_test_format("html").alias("dump"))
 
 
-@add("FN_E1_entities", "SELECT page_id, " + decoded("regexp_extract(html, '(?s)<footer>(.*)', 1)") + " AS footer FROM pages")
+@add("FN_E1_entities", "SELECT page_id, " + decoded("html") + " AS text FROM pages")
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", U.html_decode_entities(F.regexp_extract("html", "(?s)<footer>(.*)", 1)).alias("footer"))
+    return pages(spark, sf_dir).select("page_id", U.html_decode_entities("html").alias("text"))
 
 
 @add("FN_C1_class_list", "SELECT page_id, 'ad' AS class FROM pages WHERE html LIKE '%<div class=\"ad\">%'")
@@ -270,10 +270,9 @@ def raw_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.select(spread(pages(spark, sf_dir)), "script", ("raw_text",)).select("page_id", F.col("raw_text").alias("code"))
 
 
-@add("ENT2_footer_text", "SELECT page_id, " + collapsed(decoded("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")) + " AS footer FROM pages WHERE html LIKE '%</footer>%'")
+@add("ENT2_footer_text", "SELECT page_id, " + collapsed(decoded("regexp_extract(html, '(?s)<footer>(.*?)(?:</footer>|$)', 1)")) + " AS footer FROM pages WHERE html LIKE '%<footer>%'")
 def footer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = pages(spark, sf_dir).where(F.col("html").contains("</footer>"))
-    return S.select(spread(whole), "footer", ("text",)).select("page_id", F.col("text").alias("footer"))
+    return S.select(spread(pages(spark, sf_dir)), "footer", ("text",)).select("page_id", F.col("text").alias("footer"))
 
 
 @add("TB6_footer_formatting", "SELECT page_id, CAST(least(3, len(regexp_extract_all(html, '<b>'))) AS BIGINT) AS n FROM pages WHERE html LIKE '%<footer>%' AND html LIKE '%<b>%'")
@@ -536,10 +535,10 @@ def sorted_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("TB18_fragment", f"SELECT page_id, CAST(count(*) AS BIGINT) AS n FROM ({LINK}) GROUP BY page_id")
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inside of each list, parsed as what a <ul> would hold."""
-    lists = pages(spark, sf_dir).select("page_id", F.regexp_extract("html", "(?s)<ul>(.*?)</ul>", 1).alias("html")).where("html <> ''")
-    rows = P.nodes(P.parse_pages(spread(lists), context=("ul", "html")))
-    return rows.where("name = 'li' AND depth = 1").groupBy("page_id").agg(F.count("*").alias("n"))
+    """Whole pages, parsed as what a <div> would hold: no html, head or body is made."""
+    rows = P.nodes(P.parse_pages(spread(pages(spark, sf_dir)), context=("div", "html")))
+    made = rows.groupBy("page_id").agg(F.count(F.when(F.col("name") == "li", 1)).alias("n"), F.count(F.when(F.col("name").isin("html", "head", "body"), 1)).alias("implied"))
+    return made.where("n > 0 and implied = 0").select("page_id", "n")
 
 
 @add("TS11_read_statistics")
