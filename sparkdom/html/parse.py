@@ -28,14 +28,14 @@ class Document:
     errors: list[tuple[str, str, int, int]] = field(default_factory=list)
 
 
-def parse(html: str | bytes | None, context: tuple[str, str] | None = None, collect_errors: bool = False, strict: bool = False, encoding: str | None = None, iframe_srcdoc: bool = False, discard_bom: bool = True, xml: bool = False) -> Document:
-    """context: (name, namespace) of the element that a fragment is parsed for."""
+def parse(html: str | bytes | None, context: tuple[str, str] | None = None, collect_errors: bool = False, strict: bool = False, encoding: str | None = None, iframe_srcdoc: bool = False, discard_bom: bool = True, xml: bool = False, tree_builder: type[TreeBuilder] = TreeBuilder) -> Document:
+    """context: (name, namespace) of the element that a fragment is parsed for. tree_builder: a class of one's own, which the tokens go to."""
     chosen = None
     if isinstance(html, (bytes, bytearray, memoryview)):
         html, chosen = decode_html(bytes(html), encoding)
     collect = collect_errors or strict
     lexical, structural = ([], []) if collect else (None, None)
-    builder = TreeBuilder(context, structural, iframe_srcdoc=iframe_srcdoc)
+    builder = tree_builder(context, structural, iframe_srcdoc=iframe_srcdoc)
     tokenizer = Tokenizer(html or "", builder, lexical, builder.initial_state(), context[0] if context else "", discard_bom, xml)
     builder.place = lambda: tokenizer.place(tokenizer.pos - 1)
     tokenizer.run()
@@ -45,6 +45,18 @@ def parse(html: str | bytes | None, context: tuple[str, str] | None = None, coll
     return Document(builder.result(), builder.quirks, chosen, errors if collect else [])
 
 
+def tokenize(html: str | bytes | None, sink, encoding: str | None = None, errors: list | None = None, state: str = "data", last_tag: str = "", discard_bom: bool = True, xml: bool = False) -> str | None:
+    """Pass the tokens to a sink: an object with start, end, chars, comment, doctype, eof and foreign, as EventSink has them.
+
+    start may name the state that the content of the element is in. The encoding chosen for bytes is returned.
+    """
+    chosen = None
+    if isinstance(html, (bytes, bytearray, memoryview)):
+        html, chosen = decode_html(bytes(html), encoding)
+    Tokenizer(html or "", sink, errors, state, last_tag, discard_bom, xml).run()
+    return chosen
+
+
 class EventSink:
     """Tokens as events, with enough of a stack to know where foreign content is."""
 

@@ -222,3 +222,24 @@ def test_events():
     assert [d for e, d, _ in events("<p><![CDATA[x]]></p>") if e == "comment"] == ["[CDATA[x]]"]
     lazy = events("<p>" * 100_000)
     assert next(lazy)[0] == "start"
+
+
+def test_own_sink_and_builder():
+    from sparkdom.html.parse import EventSink, tokenize
+    from sparkdom.html.treebuilder import TreeBuilder
+
+    class Names(EventSink):
+        def start(self, name, attrs, self_closing):
+            super().start(name, attrs, self_closing)
+            return "rawtext" if name == "note" else None
+
+    sink, errors = Names(), []
+    assert tokenize(b"\xef\xbb\xbf<note a a>&lt;<b></note>x", sink, errors=errors) == "utf-8"
+    assert [(kind, data) for kind, data, _ in sink.events] == [("start", "note"), ("text", "&lt;<b>"), ("end", "note"), ("text", "x")]
+    assert [e[0] for e in errors] == ["duplicate-attribute"]
+
+    class Upper(TreeBuilder):
+        def chars(self, text):
+            super().chars(text.upper())
+
+    assert parse("<p>a<b>b", tree_builder=Upper).root.to_text() == "AB"
