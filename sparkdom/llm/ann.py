@@ -153,7 +153,7 @@ def build(vectors: DataFrame, quantizer: AdditiveQuantizer, kind: str) -> DataFr
 
 
 def _candidates(index: DataFrame, quantizer: AdditiveQuantizer, q: np.ndarray, rerank: int) -> DataFrame:
-    """(query, near, block, row): each task's `rerank` best scores for every query, which is a row of q."""
+    """query (a row of q), and the scores, blocks and rows of each task's `rerank` best for it, as binaries: a row for each task and query."""
     sent = index.sparkSession.sparkContext.broadcast((quantizer, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +174,36 @@ def _candidates(index: DataFrame, quantizer: AdditiveQuantizer, q: np.ndarray, r
                     keep = np.argpartition(near, rerank - 1, 1)[:, :rerank]
                     near, rows, blocks = (np.take_along_axis(x, keep, 1) for x in (near, rows, blocks))
         if near.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q), dtype=np.int32), near.shape[1])), pa.array(near.ravel()), pa.array(blocks.ravel()), pa.array(rows.ravel())], ["query", "near", "block", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(q), dtype=np.int32)), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (near, blocks, rows))], ["query", "near", "blocks", "rows"])
 
-    return index.select("block", "n", "codes", "norms").mapInArrow(run, "query int, near float, block long, row int")
+    return index.select("block", "n", "codes", "norms").mapInArrow(run, "query int, near binary, blocks binary, rows binary")
+
+
+def _best(candidates: DataFrame, rerank: int) -> DataFrame:
+    """(query, block, row): the `rerank` best of all tasks, merged one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, held = None, None
+
+        def best() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(held[0]), query, np.int32)), pa.array(held[1]), pa.array(held[2])], ["query", "block", "row"])
+
+        for b in batches:
+            for q, *parts in zip(*b.columns, strict=True):
+                here = [np.frombuffer(x.as_py(), kind) for x, kind in zip(parts, (np.float32, np.int64, np.int32), strict=True)]
+                if q.as_py() != query:
+                    if held is not None:
+                        yield best()
+                    query, held = q.as_py(), here
+                    continue
+                held = [np.concatenate(x) for x in zip(held, here, strict=True)]
+                if len(held[0]) > rerank:
+                    keep = np.lexsort((held[2], held[1], held[0]))[:rerank]
+                    held = [x[keep] for x in held]
+        if held is not None:
+            yield best()
+
+    return candidates.repartition("query").sortWithinPartitions("query").mapInArrow(run, "query int, block long, row int")
 
 
 def _exact(index: DataFrame, candidates: DataFrame, qids: np.ndarray, q: np.ndarray, kind: str) -> DataFrame:
@@ -223,9 +250,7 @@ def nearest(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         if not asked.num_rows:
             continue
         qids, q = asked.column(0).to_numpy(), _matrix(asked.column(1).combine_chunks(), np.float64)
-        best = F.row_number().over(Window.partitionBy("query").orderBy("near", "block", "row"))
-        near = _candidates(index, quantizer, q, most).withColumn("_rank", best).where(F.col("_rank") <= most)
-        part = _exact(index, near, qids, q, kind)
+        part = _exact(index, _best(_candidates(index, quantizer, q, most), most), qids, q, kind)
         if groups > 1:
             part, _ = materialize(spark, part, "found")
         found.append(part)
