@@ -15,7 +15,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at a Jaccard similarity of 0.8 or more (5-word shingles) one document stays, that with the smallest doc_id."""
+    """Of each group linked at a Jaccard similarity of 0.8 or more (5-word shingles) one document stays, that with the smallest doc_id.
+
+    Candidates come from SimHash as in op8, and from MinHash what lies over 4 bits apart; an exact check follows.
+    """
     return jaccard.keep_one(docs)
 
 

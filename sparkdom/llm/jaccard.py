@@ -1,10 +1,13 @@
 """Near-copies by the Jaccard similarity of word shingles, checked exactly.
 
-Candidates are found by MinHash: BANDS keys of ROWS minima each. Texts that share a key
-are joined into clusters, and within a cluster every text is compared with all that it is
-not linked to yet, by exact counts of common shingles. Only texts that no chain of shared
-keys connects are never compared: a pair at similarity 0.8 shares no key with a chance of
-(1 - 0.8^ROWS)^BANDS, about 5 in 10 million, and less above.
+Candidates are found by SimHash of the shingles, through deletion variants as in simhash:
+texts whose fingerprints differ in at most BITS bits. At similarity 0.8 most fingerprints
+lie further apart, so MinHash finds the rest: texts that share one of BANDS keys of ROWS
+minima each. Candidates of both are joined into clusters, and within a cluster every text
+is compared with all that it is not linked to yet, by exact counts of common shingles.
+Only texts that no chain of candidates connects are never compared: a pair at similarity
+0.8 shares no key with a chance of (1 - 0.8^ROWS)^BANDS, about 5 in 10 million, and less
+above.
 
 A cluster of over CHUNK shingles is dealt into chunks by a hash, and no task holds more
 than one: (1) each chunk is walked; (2) one text of each part that this gives is walked
@@ -31,7 +34,8 @@ from sparkdom.llm import simhash
 from sparkdom.llm.common import drop_table, materialize, tidy
 from sparkdom.llm.components import components, stars
 
-#: Keys of a text, minima of a key, shingles hashed at once.
+#: Bits that SimHashes of candidates differ in; keys of a text, minima of a key, shingles hashed at once.
+BITS = 4
 BANDS, ROWS, SLICE = 48, 6, 1024
 #: Shingles of a chunk, more or less.
 CHUNK = 1 << 22
@@ -149,6 +153,18 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         yield seconds, thirds
 
 
+def _alike(prints: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Edges (u, v) that connect the fingerprints of sets whose SimHashes differ in at most BITS bits, and the tables they read; the empty set has none."""
+    spark = prints.sparkSession
+    sets, sets_path = materialize(spark, prints.where("n > 0").select("fp", "bits").distinct(), "simhashes")
+    # written before it is joined, as in simhash.classes
+    first, first_path = materialize(spark, sets.groupBy("bits").agg(F.min("fp").alias("first")), "simhash-firsts")
+    same = sets.join(first, "bits").where("fp <> first").select(F.col("fp").alias("u"), F.col("first").alias("v"))
+    at_u, at_v = first.select(F.col("bits").alias("u"), F.col("first").alias("fu")), first.select(F.col("bits").alias("v"), F.col("first").alias("fv"))
+    near = simhash.links(first.select(F.col("bits").alias("fp")), BITS)
+    return same.union(near.join(at_u, "u").join(at_v, "v").select("fu", "fv")), [sets_path, first_path]
+
+
 def links(df: DataFrame, text: str, prints: DataFrame, least: float, words: int, seed: int) -> DataFrame:
     """Edges (u, v) between fingerprints, enough to connect all of at least that similarity."""
     spark = df.sparkSession
@@ -159,7 +175,10 @@ def links(df: DataFrame, text: str, prints: DataFrame, least: float, words: int,
         signed = (g.view(np.int64).tolist() for g in found if len(g) > 1)
         return stars((g[1:], [g[0]] * (len(g) - 1)) for g in signed)
 
-    clusters = components(spark, keyed.mapInArrow(tidy(candidates), "u long, v long"), shrunk=True)
+    alike, paths = _alike(prints)
+    clusters = components(spark, alike.union(keyed.mapInArrow(tidy(candidates), "u long, v long")), shrunk=True)
+    for path in paths:
+        drop_table(spark, path)
     one = prints.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.min("n").alias("n"))
     members = clusters.join(one, clusters["node"] == one["fp"]).select("root", "fp", "text_hash", "n")
     texts = df.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(members, "text_hash").select("root", "fp", "n", "text").dropDuplicates(["fp"])
@@ -253,8 +272,8 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", least: floa
         for b in batches:
             found = [shingles(t.as_py(), words, seed) for t in b.column(2)]
             fps = [xxhash.xxh64_intdigest(f.tobytes(), seed) - (1 << 63) for f in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([keys(f, mixers) for f in found], pa.list_(pa.int64()))], ["id", "text_hash", "fp", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array([simhash.of_hashes(f) for f in found], pa.int64()), pa.array([keys(f, mixers) for f in found], pa.list_(pa.int64()))], ["id", "text_hash", "fp", "n", "bits", "keys"])
 
-    prints, _ = materialize(df.sparkSession, rows.mapInArrow(tidy(run), f"id {rows.schema[0].dataType.simpleString()}, text_hash long, fp long, n long, keys array<long>"), "shingle-keys")
-    classes = simhash.classes(prints.drop("keys", "n"), lambda _: links(df, text, prints, least, words, seed))
+    prints, _ = materialize(df.sparkSession, rows.mapInArrow(tidy(run), f"id {rows.schema[0].dataType.simpleString()}, text_hash long, fp long, n long, bits long, keys array<long>"), "shingle-keys")
+    classes = simhash.classes(prints.drop("keys", "n", "bits"), lambda _: links(df, text, prints, least, words, seed))
     return simhash.one_of_each(df, classes, key, text)

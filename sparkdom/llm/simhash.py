@@ -38,11 +38,23 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     for k in range(0, n, SLICE):
         part = w[k : k + SLICE + words - 1]
         shingles = map(b" ".join, zip(*(part[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-        hashes = np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += _ones(np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], np.uint64))
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """64-bit SimHash of shingles that are hashed already; of none it is zero."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), SLICE):
+        ones += _ones(hashes[k : k + SLICE])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprints(df: DataFrame, key: str, text: str, words: int = 4, seed: int = 42) -> DataFrame:
     """id, text_hash, fp of every row."""
     rows = df.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text))

@@ -544,6 +544,54 @@ def test_jaccard_near_copies(spark, odd, none, small, monkeypatch, chunk):
     assert corpus_pipeline.drop_near_copies(spark, none, small).count() == 0
 
 
+def test_near_copies_come_through_simhash(spark, small, monkeypatch):
+    """Without a key of MinHash, SimHashes within 4 bits still bring candidates, and the exact check drops those below 0.8."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "keys", lambda found, mixers: [])
+    rng = random.Random(12)
+    draw = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = []
+
+    def cut(text):
+        w = text.split()
+        return {" ".join(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    def bits(text):
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in cut(text)]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    for _ in range(20):
+        base = draw(150)
+        for changes in (0, 1, 1, 2):
+            w = list(base)
+            for _ in range(changes):
+                w[rng.randrange(len(w))] = draw(1)[0]
+            texts.append(" ".join(w))
+    lookalikes = 0
+    while lookalikes < 2:  # within 4 bits and below 0.8
+        a = draw(44)
+        b = a + draw(12)
+        if (bits(" ".join(a)) ^ bits(" ".join(b))).bit_count() <= 4:
+            texts += [" ".join(a), " ".join(b)]
+            lookalikes += 1
+    sets, prints = [cut(t) for t in texts], [bits(t) for t in texts]
+
+    def joined(pairs):
+        first = list(range(len(texts)))
+        for i, j in pairs:
+            a, b = sorted((first[i], first[j]))
+            first = [a if f == b else f for f in first]
+        return first
+
+    every = [(i, j) for j in range(len(texts)) for i in range(j)]
+    cluster = joined((i, j) for i, j in every if (prints[i] ^ prints[j]).bit_count() <= 4)
+    first = joined((i, j) for i, j in every if cluster[i] == cluster[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))
+    assert len(set(cluster)) < len(set(first)) < len(texts) - 10
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, small).collect()) == sorted(set(first))
+
+
 # --- pipeline
 
 
