@@ -27,11 +27,27 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
 
 
+#: A task parses pages of about so many bytes of files.
+TASK_BYTES = 2 << 20
+#: Where Spark does not know a size it takes one of this order.
+UNKNOWN_BYTES = 1 << 60
+
+
+def stored(df: DataFrame) -> int:
+    """Bytes of the files that df reads, as far as Spark knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [leaves.apply(k).stats().sizeInBytes() for k in range(leaves.size())]
+    return sum(n for n in sizes if n < UNKNOWN_BYTES)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal pages out over all cores: a small table is one or two splits, and parsing is what costs."""
-    spark = df.sparkSession
-    n = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    """Deal pages out over all cores, in parts that do not grow with the table: parsing is what costs.
+
+    Splits of files are no such parts. A row group is read by one task whatever it holds, so a
+    table of few large row groups has many splits and few of them with pages.
+    """
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-stored(df) // TASK_BYTES))
+    return df.repartition(n, "page_id")
 
 
 def add(name: str, oracle: str | None = None) -> Callable[[Query], Query]:

@@ -221,6 +221,21 @@ def test_queries_against_sql(spark, small):
         assert sorted(map(str, r.fetchall())) == sorted(str(tuple(x)) for x in df.select(*order).collect()), name
 
 
+def test_spread(spark, tmp_path):
+    """No task gets a large row group whole, and a larger table has more tasks."""
+    rng = random.Random(3)
+    table = spark.createDataFrame([(i, "u", rng.randbytes(10_000).hex()) for i in range(600)], "page_id long, url string, html string")
+    table.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        dealt = queries.spread(queries.pages(spark, str(tmp_path)))
+        held = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(held) == 600 and max(held) < 300
+    assert dealt.rdd.getNumPartitions() == -(-queries.stored(dealt) // queries.TASK_BYTES) > spark.sparkContext.defaultParallelism
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
