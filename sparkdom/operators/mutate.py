@@ -1,9 +1,11 @@
 """Changes of trees, as new node tables: remove, append, insert, replace, clone.
 
 A DataFrame does not change, so each of these gives the parsed pages that the changed trees
-would have. Pages are rebuilt from their node rows, changed in memory and encoded again, one
-page at a time in one narrow stage. A change that would not leave a tree leaves its page as
-it was, and says so in the column `mutation_error`.
+would have. What parse_pages or another change gives is changed in the stage that parses it,
+before its trees are written as rows. Other pages, such as stored or cached ones, are rebuilt
+from their node rows, changed in memory and encoded again. Either way it is one page at a time
+in one narrow stage. A change that would not leave a tree leaves its page as it was, and says
+so in the column `mutation_error`.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sparkdom import schema
 from sparkdom.html.dom import HierarchyError, Node
 from sparkdom.html.parse import parse
-from sparkdom.operators.parse import FLUSH_CHARS, PageBatch
+from sparkdom.operators.parse import FLUSH_CHARS, PageBatch, source_of
 from sparkdom.plans.css import parse_selector
 from sparkdom.plans.matcher import first_n
 from sparkdom.plans.relational import flag_inside
@@ -48,39 +50,39 @@ def decode(rows: list[dict]) -> Node:
 def change(pages: DataFrame, selector: str, act: Callable[[Node, Node], None], key: str = "page_id") -> DataFrame:
     """act(root, match) on every match of each page that is still in the tree when its turn comes."""
     parsed = parse_selector(selector)
+
+    def step(root: Node) -> str | None:
+        error = None
+        for node in first_n(root, parsed, None):
+            if node.parent is None:
+                continue
+            try:
+                act(root, node)
+            except HierarchyError as e:
+                error = str(e)
+        return error
+
+    if (source := source_of(pages, key)) is not None:
+        return source.then(step)
     out = T._parse_datatype_string(f"`{key}` {pages.schema[key].dataType.simpleString()}, {schema.PAGE}, mutation_error string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(out)
-        made, problems, size = PageBatch(pa.schema(list(arrow)[:-1])), [], 0
-
-        def flush() -> pa.RecordBatch:
-            b = made.arrow()
-            return pa.RecordBatch.from_arrays([*b.columns, pa.array(problems, pa.string())], schema=arrow)
-
+        made = PageBatch(arrow)
         for b in batches:
             names = b.schema.names
             for k in range(b.num_rows):  # one page at a time as Python values
                 page = dict(zip(names, (c[k].as_py() for c in b.columns), strict=True))
                 root = decode(page["nodes"])
-                error = None
-                for node in first_n(root, parsed, None):
-                    if node.parent is None:
-                        continue
-                    try:
-                        act(root, node)
-                    except HierarchyError as e:
-                        error = str(e)
-                made.put(page[key], root, page["encoding"], page["quirks"], page["errors"])
-                problems.append(error)
-                size += sum(map(len, made.texts[-1])) + len(made.html[-1] or "") + 1
-                if size >= FLUSH_CHARS:
-                    yield flush()
-                    made, problems, size = PageBatch(made.schema), [], 0
-        if problems:
-            yield flush()
-
-    return pages.drop("mutation_error").mapInArrow(run, out)
+                problem = step(root)
+                made.put(page[key], root, page["encoding"], page["quirks"], page["errors"], problem=problem)
+                if made.size >= FLUSH_CHARS:
+                    yield made.arrow()
+                    made = PageBatch(arrow)
+        if made.keys:
+            yield made.arrow()
+
+    return pages.select(key, "encoding", "quirks", "nodes", "errors").mapInArrow(run, out)
 
 
 def fragment(html: str) -> list[Node]:

@@ -8,6 +8,7 @@ reads two columns only.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -77,14 +78,18 @@ class PageBatch:
 
     def __init__(self, schema: pa.Schema):
         self.schema = schema
-        self.keys, self.encodings, self.quirks, self.html, self.texts, self.errors = [], [], [], [], [], []
+        self.keys, self.encodings, self.quirks, self.html, self.texts, self.errors, self.problems = [], [], [], [], [], [], []
         self.nodes, self.starts = Columns(), [0]
+        #: Characters that the rows stand for: of a page as it came or as it leaves, whichever are more.
+        self.size = 0
 
-    def add(self, key, doc: Document) -> None:
-        self.put(key, doc.root, doc.encoding, doc.quirks, _errors(doc))
+    def add(self, key, doc: Document, chars: int = 0, problem: str | None = None) -> None:
+        self.put(key, doc.root, doc.encoding, doc.quirks, _errors(doc), chars, problem)
 
-    def put(self, key, root: Node, encoding: str | None, quirks: str, errors: list[dict]) -> None:
+    def put(self, key, root: Node, encoding: str | None, quirks: str, errors: list[dict], chars: int = 0, problem: str | None = None) -> None:
         texts, html = encode_into(root, self.nodes)
+        self.size += max(chars, sum(map(len, texts)) if html is None else len(html)) + 1
+        self.problems.append(problem)
         self.keys.append(key)
         self.encodings.append(encoding)
         self.quirks.append(quirks)
@@ -100,7 +105,7 @@ class PageBatch:
             values = getattr(self.nodes, f.name)
             arrays.append(_map_array(values, f.type) if f.name == "attrs" else pa.array(values, f.type))
         nodes = pa.ListArray.from_arrays(pa.array(self.starts, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(node)), type=self.schema.field("nodes").type)
-        plain = {"encoding": self.encodings, "quirks": self.quirks, "html": self.html, "texts": self.texts, "errors": self.errors}
+        plain = {"encoding": self.encodings, "quirks": self.quirks, "html": self.html, "texts": self.texts, "errors": self.errors, "mutation_error": self.problems}
         return pa.RecordBatch.from_arrays([pa.array(self.keys, self.schema[0].type), *(nodes if f.name == "nodes" else pa.array(plain[f.name], f.type) for f in list(self.schema)[1:])], schema=self.schema)
 
 
@@ -123,24 +128,56 @@ def parse_pages(df: DataFrame, key: str = "page_id", html: str = "html", where:
     """
     df = df if where is None else df.where(where)
     df = df if tasks is None else df.repartition(tasks)
-    out = T._parse_datatype_string(f"`{key}` {kind_of(df, key)}, {schema.PAGE}")
     options = {"context": context, "collect_errors": collect_errors, "strict": strict, "encoding": encoding, **more}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(out)
-        made, size = PageBatch(arrow), 0
-        for b in batches:
-            for k, h in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = h.as_py()
-                made.add(k, parse(text, **options))
-                size += len(text or "") + 1
-                if size >= FLUSH_CHARS:
-                    yield made.arrow()
-                    made, size = PageBatch(arrow), 0
-        if made.keys:
-            yield made.arrow()
-
-    return df.select(key, html).mapInArrow(run, out)
+    return Source(df.select(key, html), key, options).pages()
+
+
+#: What is done with the root of a tree; the text is why it was left as it was.
+Step = Callable[[Node], "str | None"]
+
+
+@dataclass(frozen=True)
+class Source:
+    """Raw pages, how they are parsed, and what is done with each tree before it is written as rows."""
+
+    raw: DataFrame
+    key: str
+    options: dict
+    steps: tuple[Step, ...] = ()
+
+    def then(self, step: Step) -> DataFrame:
+        return replace(self, steps=(*self.steps, step)).pages()
+
+    def pages(self) -> DataFrame:
+        options, steps = self.options, self.steps
+        out = T._parse_datatype_string(f"`{self.key}` {kind_of(self.raw, self.key)}, {schema.PAGE}{', mutation_error string' if steps else ''}")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            arrow = to_arrow_schema(out)
+            made = PageBatch(arrow)
+            for b in batches:
+                for k, h in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    text = h.as_py()
+                    doc = parse(text, **options)
+                    problem = None
+                    for step in steps:  # each has a column of its own for its problems, and the last is what is seen
+                        problem = step(doc.root)
+                    made.add(k, doc, len(text or ""), problem)
+                    if made.size >= FLUSH_CHARS:
+                        yield made.arrow()
+                        made = PageBatch(arrow)
+            if made.keys:
+                yield made.arrow()
+
+        made = self.raw.mapInArrow(run, out)
+        made._parsed_from = self
+        return made
+
+
+def source_of(pages: DataFrame, key: str) -> Source | None:
+    """Where pages come from, if they are what parse_pages or a change gave, with nothing done since: then a further step can go into the same stage."""
+    source = getattr(pages, "__dict__", {}).get("_parsed_from")
+    return source if source is not None and source.key == key and not pages.is_cached else None
 
 
 def nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:

@@ -156,6 +156,26 @@ def test_mutation(one):
     assert {r.name for r in left.where("page_id = 1").select("name").collect()} >= {"template", "p", "li"} and left.where("name = 'li' and tree_id = 0").count() == 0
 
 
+CHANGES = {
+    "MUT1": lambda pages: M.append(pages, "ul, template", "<li>more"),
+    "chain": lambda pages: M.remove(M.append(M.move(pages, "ul", "li"), "ul", "<li>4"), "li:first-child"),
+}
+TREES = [PAGE, None, "", "<table><li>x<td><ul><li>y</table>z", "<svg><li/></svg><b><p>a<ul><li>b", "<!DOCTYPE html PUBLIC 'a\"b'><ul><li>c<template><ul><li>d</ul></template>"]
+
+
+@pytest.mark.parametrize("name", CHANGES)
+def test_changes_in_the_parse_stage(spark, name):
+    """Fresh pages are changed where they are parsed, in one stage, with the result that stored ones have."""
+    raw = spark.createDataFrame(list(enumerate(TREES)), "page_id long, html string")
+    fresh, stored = P.parse_pages(raw, collect_errors=True), P.parse_pages(raw, collect_errors=True).select("*")
+    change = CHANGES[name]
+    plans = [change(p)._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") for p in (fresh, stored)]
+    assert plans[0] == 1 < plans[1]
+    got, want = (sorted(map(str, change(p).collect())) for p in (fresh, stored))
+    assert got == want and len(got) == len(TREES)
+    assert fresh.schema == stored.schema and "mutation_error" not in fresh.columns and change(fresh).schema == change(stored).schema
+
+
 def test_stream(spark, tmp_path):
     R.write_table(spark.createDataFrame([(i, "u", f"<title>t{i}</title>") for i in range(20)], "page_id long, url string, html string").repartition(4), str(tmp_path / "in"))
     pages = ST.read_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
