@@ -157,6 +157,7 @@ def test_mutation(one):
 
 
 CHANGES = {
+    "MUT3": lambda pages: M.insert_before(pages, "li, b", "<li>new</li>x"),
     "MUT1": lambda pages: M.append(pages, "ul, template", "<li>more"),
     "chain": lambda pages: M.remove(M.append(M.move(pages, "ul", "li"), "ul", "<li>4"), "li:first-child"),
 }
