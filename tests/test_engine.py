@@ -157,10 +157,12 @@ def test_mutation(one):
 
 
 CHANGES = {
+    "MUT2": lambda pages: M.remove(pages, "li:first-child"),
     "MUT3": lambda pages: M.insert_before(pages, "li, b", "<li>new</li>x"),
     "MUT1": lambda pages: M.append(pages, "ul, template", "<li>more"),
     "MUT4": lambda pages: M.replace(pages, "li:first-child", "<i>1</i><i>2</i>"),
     "MUT6": lambda pages: M.clone(pages, "li, template"),
+    "MUT5": lambda pages: M.move(pages, "ul", "li"),
     "chain": lambda pages: M.remove(M.append(M.move(pages, "ul", "li"), "ul", "<li>4"), "li:first-child"),
 }
 TREES = [PAGE, None, "", "<table><li>x<td><ul><li>y</table>z", "<svg><li/></svg><b><p>a<ul><li>b", "<!DOCTYPE html PUBLIC 'a\"b'><ul><li>c<template><ul><li>d</ul></template>"]
