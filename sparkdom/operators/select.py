@@ -16,7 +16,7 @@ from sparkdom.operators.parse import kind_of, nodes, per_page, trees
 from sparkdom.plans.css import SelectorError, parse_selector
 from sparkdom.plans.early import decidable, find_early, find_first
 from sparkdom.plans.matcher import first_n
-from sparkdom.plans.relational import flag, flag_inside, flag_parent, looks_around
+from sparkdom.plans.relational import flag, flag_few, flag_parent, looks_around
 from sparkdom.plans.targeted import compile_targeted, may_match
 
 #: Fields of a match and their types.
@@ -125,12 +125,10 @@ def query(pages: DataFrame, selector: str, key: str = "page_id", scope: DataFram
     """
     table = nodes(pages, key)
     if looks_around(selector) or isinstance(scope, str):
-        table = table.repartition(key)
-    if isinstance(scope, str):
-        found = flag(flag_inside(table, scope, key, "_inside"), selector, key, "_matched")
-        return found.where("_matched and _inside").drop("_matched", "_inside")
-    rows = matched(table, selector, key)
-    if scope is None:
+        rows = flag_few(table, selector, key, "_matched", scope if isinstance(scope, str) else None).where("_matched").drop("_matched")
+    else:
+        rows = matched(table, selector, key)
+    if scope is None or isinstance(scope, str):
         return rows
     # intervals nest, so the innermost scope that begins before a node and reaches it is enough
     marks = scope.select(key, "tree_id", F.col("node_id").alias("node_id"), F.col("last_id").alias("_reach"))
@@ -156,7 +154,7 @@ def query_text(pages: DataFrame, selector: str, key: str = "page_id") -> DataFra
     table = pages.select(key, "texts", "html", F.inline("nodes"))
     first = F.col("depth") == 0
     table = table.withColumns({"_text": F.when(first, F.col("texts")[F.col("tree_id")]), "_html": F.when(F.col("node_id") == 0, F.col("html"))}).drop("texts", "html")
-    flagged = flag(table.repartition(key), selector, key, "_matched").where(F.col("_matched") | first)
+    flagged = flag_few(table, selector, key, "_matched", keep=first).where(F.col("_matched") | first)
     page, tree = Window.partitionBy(key).orderBy("node_id"), Window.partitionBy(key, "tree_id").orderBy("node_id")
     rows = flagged.withColumns({"tree_html": F.first("_html").over(page), "tree_text": F.first("_text").over(tree)}).where("_matched")
     return _slices(rows.drop("_matched", "_text", "_html"))

@@ -8,10 +8,18 @@ One flag per compound is carried from left to right:
     ~            the running maximum of the flag over earlier element siblings
 
 Every predicate is two-valued: NULL counts as false before anything is negated.
+
+Where only the matches are wanted, rows that fit no compound are dropped below the exchange,
+and what a compound asks of the row itself crosses it as a boolean. A parent or a brother may
+then be missing in front of a row, so `>` gives every flagged row a second copy at the head
+of its children, which hands the flag to them, and `+` looks at the number of the row before.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +69,24 @@ class Compiler:
 
     def __init__(self, nodes: DataFrame, key: str):
         self.df, self.key, self.n = nodes, key, 0
+        #: By compound, the flag of what it asks of the row itself; empty unless narrow() dropped the other rows.
+        self.own: dict[tuple[Simple, ...], str] = {}
+
+    def narrow(self, selectors: list[SelectorList], keep: Column | None = None) -> None:
+        """Drop rows that fit no compound of the selectors, and that keep does not hold for; then deal out by key."""
+        for s in selectors:
+            self.prepare(s)
+        wanted = [F.col(f) for f in self.own.values()]
+        self.df = self.df.where(reduce(or_, wanted if keep is None else [*wanted, keep])).repartition(self.key)
+
+    def prepare(self, selector: SelectorList) -> None:
+        for simples in (c for b in selector.branches for c in b.compounds):
+            for s in simples:
+                if s.inner is not None:
+                    self.prepare(s.inner)
+            if simples not in self.own:
+                name = self.add(self.every(tuple(s for s in simples if s.inner is None)))
+                self.own[simples] = name
 
     def add(self, column: Column) -> str:
         name = f"_f{self.n}"
@@ -93,12 +119,17 @@ class Compiler:
         first, last = p == 1, p == n
         return first & last if name.startswith("only") else first if name.startswith("first") else last
 
-    def compound(self, simples: tuple[Simple, ...]) -> Column:
-        out = F.col("kind").isin("element", "doctype")
+    def every(self, simples: tuple[Simple, ...], out: Column | None = None) -> Column:
+        out = F.col("kind").isin("element", "doctype") if out is None else out
         for s in simples:
             out = out & _sure(self.simple(s))
         return out
 
+    def compound(self, simples: tuple[Simple, ...]) -> Column:
+        if simples not in self.own:
+            return self.every(simples)
+        return self.every(tuple(s for s in simples if s.inner is not None), F.col(self.own[simples]))
+
     def complex(self, c: Complex) -> str:
         flag = self.add(self.compound(c.compounds[0]))
         for how, simples in zip(c.combinators, c.compounds[1:], strict=True):
@@ -113,16 +144,30 @@ class Compiler:
         if how == " ":
             return _sure(F.max(F.when(F.col(flag), F.col("last_id"))).over(tree.rowsBetween(*before)) >= F.col("node_id"))
         if how == "+":
-            return _sure(F.lag(flag).over(siblings))
+            near = F.lag("node_id").over(siblings) == F.col("prev_elem_id") if self.own else F.lit(True)
+            return _sure(F.lag(flag).over(siblings) & near)
         return _sure(F.max(flag).over(siblings.rowsBetween(*before)))
 
     def child(self, flag: str) -> str:
         """The parent's flag, without a join: the row before a first child is the parent, and its siblings take it from there."""
+        if self.own:
+            return self.child_of_few(flag)
         tree = Window.partitionBy(self.key, "tree_id").orderBy("node_id")
         family = Window.partitionBy(self.key, "tree_id", "parent_id").orderBy("node_id")
         before = self.add(F.when(F.lag("node_id").over(tree) == F.col("parent_id"), F.lag(flag).over(tree)))
         return self.add(_sure(F.first(before).over(family)))
 
+    def child_of_few(self, flag: str) -> str:
+        """The same where parents may be missing: copies of the flagged rows head their children, one sort and no second exchange."""
+        head, family, out = f"_h{self.n}", f"_p{self.n}", f"_f{self.n}"
+        self.n += 1
+        heads = F.when(F.col(flag), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+        rows = self.df.withColumn(head, F.explode(heads))
+        rows = rows.withColumn(family, F.when(F.col(head), F.col("node_id")).otherwise(F.col("parent_id")))
+        w = Window.partitionBy(self.key, "tree_id", family).orderBy(F.desc(head))
+        self.df = rows.withColumn(out, _sure(F.first(head).over(w))).where(~F.col(head)).drop(head, family)
+        return out
+
     def list(self, selector: SelectorList) -> str:
         flags = [self.complex(c) for c in selector.branches]
         out = F.col(flags[0])
@@ -157,3 +202,14 @@ def flag_inside(nodes: DataFrame, selector: str, key: str, name: str = "inside",
     last = compiler.list(parse_selector(selector))
     reach = compiler.carried(" ", last)
     return compiler.df.withColumn(name, F.col(last) | reach if itself else reach).select(*nodes.columns, name)
+
+
+def flag_few(nodes: DataFrame, selector: str, key: str, name: str = "matched", inside: str | None = None, keep: Column | None = None) -> DataFrame:
+    """flag over the rows that selector or inside look at, or that keep holds for; the others go before the one shuffle. inside: only below its matches."""
+    parsed, scope = parse_selector(selector), None if inside is None else parse_selector(inside)
+    compiler = Compiler(nodes, key)
+    compiler.narrow([parsed] if scope is None else [parsed, scope], keep)
+    out = F.col(compiler.list(parsed))
+    if scope is not None:
+        out = out & compiler.carried(" ", compiler.list(scope))
+    return compiler.df.withColumn(name, out).select(*nodes.columns, name)

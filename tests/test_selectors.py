@@ -135,6 +135,34 @@ def test_exchanges(spark):
         assert plan.count("RepartitionByExpression") + plan.count("Exchange") == want
 
 
+def test_few_rows_cross_the_exchange(spark):
+    """Rows that no compound fits stay below the exchange."""
+    html = "<nav><ul>" + "<li><a href=/x>t</a><p><b>u</b><i>v</i></p></li>" * 20 + "</ul></nav>" + "<p>w<b>z</b>" * 200
+    pages = parse_pages(spark.createDataFrame([(k, html) for k in range(4)], "page_id long, html string"))
+    df = query(pages, "nav > ul > li > a").select("page_id", "node_id")
+    assert len(df.collect()) == 80
+    assert _rows_exchanged(df) == 4 * 42 < nodes(pages).count() / 10
+
+
+def _rows_exchanged(df) -> int:
+    """Records that the plan of a collected DataFrame wrote for its exchange."""
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        plan = todo.pop()
+        name = plan.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(plan.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(plan.plan())
+        elif name == "Exchange":
+            found.append(plan.metrics().apply("shuffleRecordsWritten").value())
+        else:
+            children = plan.children()
+            todo += [children.apply(k) for k in range(children.size())]
+    assert len(found) == 1
+    return found[0]
+
+
 def test_fused_is_relational(forests):
     _, table, pages = forests
     for selector in ("div p", "li:first-child", "p.x, #a", "template div"):
