@@ -21,8 +21,8 @@ from sparkdom.html.dom import Node
 from sparkdom.html.encode import Columns, encode, encode_into
 from sparkdom.html.parse import Document, StrictError, events, parse
 
-#: Output rows are passed on once they stand for so many input characters.
-FLUSH_CHARS = 4 << 20
+#: Output rows are passed on once they stand for so many characters.
+FLUSH_CHARS = 1 << 20
 
 
 def kind_of(df: DataFrame, column: str) -> str:
@@ -153,27 +153,31 @@ class Source:
         out = T._parse_datatype_string(f"`{self.key}` {kind_of(self.raw, self.key)}, {schema.PAGE}{', mutation_error string' if steps else ''}")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            arrow = to_arrow_schema(out)
-            made = PageBatch(arrow)
-            for b in batches:
-                for k, h in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    text = h.as_py()
-                    doc = parse(text, **options)
-                    problem = None
-                    for step in steps:  # each has a column of its own for its problems, and the last is what is seen
-                        problem = step(doc.root)
-                    made.add(k, doc, len(text or ""), problem)
-                    if made.size >= FLUSH_CHARS:
-                        yield made.arrow()
-                        made = PageBatch(arrow)
-            if made.keys:
-                yield made.arrow()
+            return parsed_batches(batches, to_arrow_schema(out), options, steps)
 
         made = self.raw.mapInArrow(run, out)
         made._parsed_from = self
         return made
 
 
+def parsed_batches(batches: Iterator[pa.RecordBatch], arrow: pa.Schema, options: dict, steps: tuple[Step, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """Batches of keys and pages to batches of parsed pages, of FLUSH_CHARS and one page at most."""
+    made = PageBatch(arrow)
+    for b in batches:
+        for k, h in zip(b.column(0), b.column(1), strict=True):
+            text = h.as_py()
+            doc = parse(text, **options)
+            problem = None
+            for step in steps:  # what is seen is the problem of the last
+                problem = step(doc.root)
+            made.add(k.as_py(), doc, len(text or ""), problem)
+            if made.size >= FLUSH_CHARS:
+                yield made.arrow()
+                made = PageBatch(arrow)
+    if made.keys:
+        yield made.arrow()
+
+
 def source_of(pages: DataFrame, key: str) -> Source | None:
     """Where pages come from, if they are what parse_pages or a change gave, with nothing done since: then a further step can go into the same stage."""
     source = getattr(pages, "__dict__", {}).get("_parsed_from")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparkdom import queries
 from sparkdom.cli import run as cli
@@ -246,6 +248,15 @@ def test_queries_against_sql(spark, small):
         assert sorted(map(str, r.fetchall())) == sorted(str(tuple(x)) for x in df.select(*order).collect()), name
 
 
+def test_batches_are_small(spark):
+    """However many pages a task is given, few are held as rows at a time."""
+    html = "<p>" + "x y <b>z</b> " * 8_000
+    given = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([html] * 50)], names=["page_id", "html"])
+    out = P.parse_pages(spark.createDataFrame([(1, "")], "page_id long, html string"))
+    made = [(b.num_rows, sum(map(len, b.column("html").to_pylist()))) for b in P.parsed_batches(iter([given]), to_arrow_schema(out.schema), {})]
+    assert sum(n for n, _ in made) == 50 and max(size for _, size in made) < (1 << 20) + 2 * len(html)
+
+
 def test_spread(spark, tmp_path):
     """No task gets a large row group whole, and a larger table has more tasks."""
     rng = random.Random(3)
